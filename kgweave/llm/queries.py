@@ -7,18 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import unify
+from kgweave.llm import groups, linking, mixture, survivors, tokens, unify
 from kgweave.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.linked_records(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "ref_entities"))
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.unmatched(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "ref_entities"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.match_groups(table(spark, sf_dir, "fuzzy_mapping_report"))
+
+
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.group_sizes(p2_found(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"nodes": ["entity_name"], "edges": ["source", "target"]}
     tables = {t: (table(spark, sf_dir, t), cols) for t, cols in fields.items()}
     return unify.inconsistent_values(tables).select("table_name", "id", "field_name").distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.best_records(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "extractors")).select("id")
+
+
+def p4_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.built_records(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "extractors"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.token_ids("text", tokens.broadcast_model(spark)).alias("ids"))
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, tokens, and documents that decode to their text."""
+    model = tokens.broadcast_model(spark)
+    ids = table(spark, sf_dir, "documents").select("source", "text", tokens.token_ids("text", model).alias("ids"))
+    back = ids.select("source", F.size("ids").alias("n"), (tokens.decoded("ids", model) == F.coalesce("text", F.lit(""))).alias("same"))
+    return back.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_tokens"), F.count_if("same").alias("n_same"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixture.mix(mixture.sizes(table(spark, sf_dir, "documents"), tokens.broadcast_model(spark)), targets), targets
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.shares(*_mixed(spark, sf_dir))
+
+
+QUERIES = [p1_found, p1_unmatched, p2_found, p2_sizes, p3_found, p4_found, p4_built, p6_ids, p6_round_trip, p7_mix, p7_shares]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
