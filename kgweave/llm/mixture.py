@@ -31,6 +31,8 @@ from kgweave.session import materialize
 
 #: Records of one group, about, and groups that meet in one node of the tree.
 GROUP, FAN = 20_000, 64
+#: A record is large if it holds more than 1/LARGE of what all smaller ones of its group hold.
+LARGE = 200
 EPS = 1e-9
 
 
@@ -76,10 +78,24 @@ def _random(ids: np.ndarray, seed: int) -> np.ndarray:
 def pivotal(ids: np.ndarray, p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """p with all but at most one entry 0 or 1, and the same sum of p * size.
 
-    From the largest record to the smallest, each meets the one still open, so that a small one is left in the end."""
-    chance, out = _random(ids, seed), p.tolist()
-    current = -1
-    for k in np.lexsort((ids, -size)).tolist():
+    From the largest record to the smallest, each meets the one still open, so that a small one is left in the end.
+    Records that are large beside all smaller ones together meet those as one, in proportion to what they can give or take.
+    """
+    chance, p, order = _random(ids, seed), np.round(p, 12), np.lexsort((ids, -size))
+    rest_size = np.cumsum(size[order][::-1])[::-1]
+    for at, k in enumerate(order[:-1]):
+        if size[k] * LARGE < rest_size[at + 1]:
+            break
+        rest = order[at + 1 :]
+        give, take = (p[rest] * size[rest]).sum(), ((1 - p[rest]) * size[rest] * (p[rest] > 0)).sum()
+        up, down = min((1 - p[k]) * size[k], give), min(p[k] * size[k], take)
+        if EPS < p[k] < 1 - EPS and up + down > EPS:
+            if chance[k] * (up + down) < down:
+                p[k], p[rest] = p[k] + up / size[k], p[rest] * (1 - up / give if give else 1)
+            else:
+                p[k], p[rest] = p[k] - down / size[k], np.where(p[rest] > 0, 1 - (1 - p[rest]) * (1 - down / take if take else 1), 0.0)
+    out, current = p.tolist(), -1
+    for k in order.tolist():
         if not EPS < out[k] < 1 - EPS:
             out[k] = round(out[k])
         elif current < 0:
