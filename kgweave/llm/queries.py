@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import groups, linking, mixture, survivors, tokens, unify
+from kgweave.llm import groups, linking, mixture, subjects, survivors, tokens, unify
 from kgweave.session import table
 
 
@@ -66,7 +66,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(*_mixed(spark, sf_dir))
 
 
-QUERIES = [p1_found, p1_unmatched, p2_found, p2_sizes, p3_found, p4_found, p4_built, p6_ids, p6_round_trip, p7_mix, p7_shares]
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects")))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(p8_found(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"))
+
+
+QUERIES = [p1_found, p1_unmatched, p2_found, p2_sizes, p3_found, p4_found, p4_built, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_composition]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
