@@ -61,30 +61,40 @@ def is_upper(c: Column) -> Column:
     return (c == F.upper(c)) & (c != F.lower(c))
 
 
-# A line that starts with a roman or arabic number and is in capitals is a second-level heading.
-ROMAN_LINE, ARABIC_LINE = r"^[IVX]+\.\s", r"^\d+\.\s"
+# Numbered lines in capitals are second-level headings; wrong characters that stand for others.
+ROMAN_LINE, ARABIC_LINE = r"^[IVXLCDM]+\.", r"^\d+\."
+CORRECTIONS = {"Ƣ": "Ư", "ƣ": "ư", "–": "-", "—": "-", "\uf0b7": "*", "\uf0b4": "x"}
 
 
-def heading_level(line: Column) -> Column:
-    """1 or 2 for heading lines, else 0: marked ones, numbered capitals (2), other capitals of more than 3 letters (1)."""
-    t = F.trim(line)
-    return (
-        F.when(t.rlike(r"^##\s"), 2)
-        .when(t.rlike(r"^#\s"), 1)
-        .when(is_upper(t) & (t.rlike(ROMAN_LINE) | t.rlike(ARABIC_LINE)), 2)
-        .when(is_upper(t) & (F.length(t) > 3) & ~t.rlike(r"^[|\-]"), 1)
-        .otherwise(0)
-    )
+def corrected(c: Column) -> Column:
+    return F.translate(c, "".join(CORRECTIONS), "".join(CORRECTIONS.values()))
+
+
+def plain_line(line: Column) -> Column:
+    """Without heading and emphasis marks."""
+    return F.trim(F.regexp_replace(line, "[#*]", ""))
+
+
+def heading_level(line: Column, roman_before: Column) -> Column:
+    """2 for roman-numbered lines in capitals, and arabic-numbered ones where no roman one came before; 1 for other lines
+    of more than 3 characters in capitals; else 0."""
+    t = plain_line(line)
+    return F.when(is_upper(t) & (t.rlike(ROMAN_LINE) | (t.rlike(ARABIC_LINE) & ~roman_before)), 2).when(is_upper(t) & (F.length(t) > 3), 1).otherwise(0)
 
 
 def truncated(c: Column, most: int = 300) -> Column:
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit("..."))).otherwise(c)
 
 
+# The marks that count as text beside letters and digits.
+TEXT_MARKS = r".,!?;:()\-#|*"
+
+
 def markdown_quality(c: Column) -> Column:
-    """100 times the share of characters that aren't garbage (replacement signs, controls, private use)."""
-    garbage = F.length(c) - F.length(F.regexp_replace(c, "[�\u0001-\u0008-]", ""))
-    return F.round(100 * (1 - garbage / F.greatest(F.length(c), F.lit(1))), 4)
+    """100 times the share of non-space characters that are letters, digits or marks of text; 0 for an empty text."""
+    dense = F.regexp_replace(c, r"(?U)\s", "")
+    kept = F.regexp_replace(dense, rf"(?U)[^\w{TEXT_MARKS}]", "")
+    return F.when(F.length(dense) == 0, 0.0).otherwise(F.round(100.0 * F.length(kept) / F.length(dense), 4))
 
 
 def without_thinking(c: Column) -> Column:
