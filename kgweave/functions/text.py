@@ -17,6 +17,11 @@ def plain_upper(c: Column) -> Column:
     return F.translate(F.upper(c), ACCENTED, PLAIN)
 
 
+def strip(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """Single spaces, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -24,7 +29,7 @@ def squeeze(c: Column) -> Column:
 
 def estimated_tokens(c: Column) -> Column:
     """Words times 1.3, cut to a whole number; 0 for blank."""
-    words = F.size(F.filter(F.split(F.trim(c), r"[ \t\n\r]+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(c, r"[ \t\n\r]+"), lambda w: w != ""))
     return F.floor(words * 13 / 10).cast("int")
 
 
@@ -99,12 +104,12 @@ def markdown_quality(c: Column) -> Column:
 
 def without_thinking(c: Column) -> Column:
     """Closed and unclosed think blocks removed."""
-    return F.trim(chained(c, [(r"(?is)<think>.*?</think>", ""), (r"(?is)<think>.*$", "")]))
+    return strip(chained(c, [(r"(?is)<think>.*?</think>", ""), (r"(?is)<think>.*$", "")]))
 
 
 def model_text(c: Column) -> Column:
     """Model output without think blocks, code fences, and a preamble line that ends in a colon."""
-    return F.trim(chained(without_thinking(c), [(r"(?m)^```\w*\s*$", ""), (r"(?i)^\s*(here is|sure|below is)[^\n]*:\s*\n", "")]))
+    return strip(chained(without_thinking(c), [(r"(?m)^```\w*\s*$", ""), (r"(?i)^\s*(here is|sure|below is)[^\n]*:\s*\n", "")]))
 
 
 def first_object(c: Column) -> Column:
