@@ -34,7 +34,7 @@ def ranked_context(points: DataFrame, limit: int = 21_000) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "description"))
     text = F.concat(F.lit("#"), F.col("k").cast("string"), F.lit(" ("), F.col("score").cast("int").cast("string"), F.lit(")\n"), "description", F.lit("\n\n"))
     numbered = points.withColumn("k", k).withColumn("text", text)
-    return prefix(numbered, "key", ["k"], F.length("text"), limit)
+    return prefix(numbered.where(F.col("k") <= limit), "key", ["k"], F.length("text"), limit)
 
 
 def ask_global(spark: SparkSession, reports: DataFrame, question: str, provider: Complete | None = None, limit: int = 3500) -> str:

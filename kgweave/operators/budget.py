@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,8 +15,13 @@ def running(df: DataFrame, key: str, order: list, size: Column, name: str = "tot
     return df.withColumn(name, F.sum(size).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def prefix(df: DataFrame, key: str, order: list, size: Column, limit: Column | float) -> DataFrame:
-    """The rows of each key, in order, whose sizes together stay within the limit."""
+def prefix(df: DataFrame, key: str, order: list, size: Column, limit: Column | float, most_rows: int | None = None) -> DataFrame:
+    """The rows of each key, in order, whose sizes together stay within the limit.
+
+    most_rows: no more rows than this can fit (the limit over the least size). They are then cut by rank first, which
+    Spark does before the shuffle, so that a key with very many rows never meets in one place."""
+    if most_rows is not None:
+        df = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__rank") <= most_rows).drop("__rank")
     return running(df, key, order, size).where(F.col("total") <= limit)
 
 
@@ -32,19 +37,31 @@ def merged_small(chunks: DataFrame, threshold: int = 200) -> DataFrame:
     """Per file, in order: a chunk under the threshold joins what is before it, and one after a small accumulation joins
     that. chunks(file, pos, content, tokens) -> (file, pos of the first, content, tokens, n).
 
-    A file's chunks meet in one task; a file is a document, not a group that grows with the corpus."""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for f, pos, content, tokens in g.sort_values("pos", kind="stable")[["file", "pos", "content", "tokens"]].itertuples(index=False):
-            if out and (tokens < threshold or out[-1][3] < threshold):
-                last = out[-1]
-                last[2], last[3], last[4] = last[2] + "\n" + content, last[3] + tokens, last[4] + 1
-            else:
-                out.append([f, pos, content, tokens, 1])
-        return pd.DataFrame(out, columns=["file", "pos", "content", "tokens", "n"])
-
-    return chunks.groupBy("file").applyInPandas(fold, "file string, pos int, content string, tokens int, n int")
+    Files are sorted within partitions and folded as they stream by: what is held is one batch and one open chunk."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: list | None = None
+        parts: list[str] = []
+
+        def closed() -> list:
+            return [last[0], last[1], "\n".join(parts), last[2], len(parts)]
+
+        for g in batches:
+            out: list[list] = []
+            for f, pos, content, tokens in g[["file", "pos", "content", "tokens"]].itertuples(index=False):
+                if last and last[0] == f and (tokens < threshold or last[2] < threshold):
+                    last[2] += tokens
+                    parts.append(content)
+                else:
+                    if last:
+                        out.append(closed())
+                    last, parts = [f, pos, tokens], [content]
+            yield pd.DataFrame(out, columns=["file", "pos", "content", "tokens", "n"])
+        if last:
+            yield pd.DataFrame([closed()], columns=["file", "pos", "content", "tokens", "n"])
+
+    placed = chunks.select("file", "pos", "content", "tokens").repartition("file").sortWithinPartitions("file", "pos")
+    return placed.mapInPandas(fold, "file string, pos int, content string, tokens int, n int")
 
 
 def packed(reports: DataFrame, limit: int = 3500, lanes: int = 1, seed: int = 42) -> DataFrame:

@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large star: every larger neighbour of v is linked to the smallest of v and its neighbours; small star: v and its
     smaller neighbours are linked to the smallest of them. Rounds grow with the logarithm of the largest diameter."""
     links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("p")).distinct(), "links")
+    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("v", "p")), F.sum(F.xxhash64("p", "v") % 1_000_003))
+    state = None
     while True:
         around = links.unionByName(links.select(F.col("p").alias("v"), F.col("v").alias("p")))
         low = around.groupBy("v").agg(F.least(F.min("p"), F.first("v")).alias("m"))
@@ -33,10 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         small_low = large.groupBy("v").agg(F.min("p").alias("m"))
         small = large.join(small_low, "v").select(F.explode(F.array("v", "p")).alias("v"), F.col("m").alias("p")).where("v <> p").distinct()
         after = materialize(small, "links")
-        changed = after.exceptAll(links).limit(1).count() or links.exceptAll(after).limit(1).count()
         discard(links)
-        links = after
-        if not changed:
+        links, before, state = after, state, tuple(after.agg(mark).first()[0])
+        if state == before:
             break
     roots = links.select(F.col("p").alias("v"), F.col("p").alias("component"))
     return links.select("v", F.col("p").alias("component")).union(roots).distinct()
@@ -223,6 +224,6 @@ def hierarchy(edges: DataFrame, levels: int = 5, gamma: float = 1.0, seed: int =
 
 def quality(edges: DataFrame, member: DataFrame, gamma: float) -> DataFrame:
     """The constant-Potts quality: inner weight less gamma times the pairs of each community."""
-    inner = within_communities(edges, member).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inner"))
-    pairs = member.groupBy("c").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
-    return inner.join(pairs).select((F.col("inner") - gamma * F.col("pairs")).alias("quality"))
+    inner = within_communities(edges, member).select("w")
+    pairs = member.groupBy("c").agg(F.count("*").alias("n")).select((-gamma * F.col("n") * (F.col("n") - 1) / 2).alias("w"))
+    return inner.unionByName(pairs).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("quality"))

@@ -49,8 +49,8 @@ def presence(records: DataFrame) -> DataFrame:
 
 def _orphan(t: Column) -> Column:
     """Whether a reference at t, joined on the left with presence, is an orphan."""
-    there = F.coalesce(F.col("since") <= t, F.lit(False)) | F.exists("spans", lambda s: (s["a"] <= t) & (s["b"] > t))
-    return F.col("spans").isNull() | (t.isNotNull() & ~there)
+    there = F.coalesce(F.col("__since") <= t, F.lit(False)) | F.exists("__spans", lambda s: (s["a"] <= t) & (s["b"] > t))
+    return F.col("__spans").isNull() | (t.isNotNull() & ~there)
 
 
 def orphan_references(references: DataFrame, records: DataFrame, share: float = 0.005, check_heavy: bool = True) -> DataFrame:
@@ -59,7 +59,7 @@ def orphan_references(references: DataFrame, records: DataFrame, share: float =
     references: column ``key`` (null or blank: not a reference) and timestamp ``at``; records: ``key``, ``loaded_at``,
     ``deleted_at``. share: a key with more than this share of all references is heavy, so at most 1/share keys are."""
     references = materialize(references.where("key is not null and trim(key) <> ''"), "references")
-    there = presence(records)
+    there = presence(records).withColumnsRenamed({"since": "__since", "spans": "__spans"})
     counts = references.groupBy("key", F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("n"))
     per_key = counts.groupBy("key").agg(F.sum("n").alias("n"))
     heavy = [r["key"] for r in per_key.where(F.col("n") > F.lit(max(1, references.count() * share))).select("key").collect()]
@@ -68,10 +68,10 @@ def orphan_references(references: DataFrame, records: DataFrame, share: float =
         light_refs, heavy_refs, heavy_there = references.where(~is_heavy), references.where(is_heavy), materialize(there.where(is_heavy), "heavy")
         if not check_heavy or small_enough(heavy_there, 4096):
             heavy_there = F.broadcast(heavy_there)
-        heavy_orphans = heavy_refs.join(heavy_there, "key", "left").where(_orphan(F.col("at"))).drop("since", "spans")
+        heavy_orphans = heavy_refs.join(heavy_there, "key", "left").where(_orphan(F.col("at"))).drop("__since", "__spans")
     else:
         light_refs = references
-    light = light_refs.join(there.hint("shuffle_hash"), "key", "left").where(_orphan(F.col("at"))).drop("since", "spans")
+    light = light_refs.join(there.hint("shuffle_hash"), "key", "left").where(_orphan(F.col("at"))).drop("__since", "__spans")
     return light.unionByName(heavy_orphans) if heavy else light
 
 

@@ -43,7 +43,7 @@ def hybrid_local_context(spark, sf_dir):
 def vector_topk_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     queries = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
-    return R.batch_top(queries, v, 10).withColumn("score", F.round("score", 5)).select("query", "id", "score", "rank")
+    return R.batch_top(queries, v, 10).select("query", "id", "score", "rank")
 
 
 def keyword_contains(spark, sf_dir):
@@ -94,14 +94,14 @@ def report_levels(spark, sf_dir):
 def entity_budget_prefix(spark, sf_dir):
     """Per source chunk, nodes by occurrence until 60 of 100 tokens are used."""
     n = table(spark, sf_dir, "nodes").where("entity_name is not null").select("id", "entity_name", F.coalesce("occurrence_count", F.lit(0)).alias("o"), F.explode("source_chunks").alias("chunk")).where("chunk is not null").distinct()
-    return B.prefix(n.withColumn("t", estimated_tokens(F.col("entity_name"))), "chunk", [F.desc("o"), "id", "entity_name"], F.col("t"), 60).select("chunk", "id", "entity_name", "total")
+    return B.prefix(n.withColumn("t", estimated_tokens(F.col("entity_name"))), "chunk", [F.desc("o"), "id", "entity_name"], F.col("t"), 60, most_rows=60).select("chunk", "id", "entity_name", "total")
 
 
 def edge_budget_prefix(spark, sf_dir):
     """Per source name, edges by priority within what its name leaves of 200 tokens."""
     e = table(spark, sf_dir, "edges").where("source is not null and target is not null").select("id", "source", "target", F.coalesce("priority_score", F.lit(-1.0)).alias("p")).distinct()
     sized = e.withColumn("t", estimated_tokens(F.concat_ws(" ", "source", "target"))).withColumn("budget", 200 - estimated_tokens(F.col("source")))
-    return B.running(sized, "source", [F.desc("p"), "id", "target"], F.col("t")).where("total <= budget").select("source", "id", "total")
+    return B.prefix(sized, "source", [F.desc("p"), "id", "target"], F.col("t"), F.col("budget"), most_rows=200).select("source", "id", "total")
 
 
 def reduce_context_prefix(spark, sf_dir):
@@ -196,7 +196,7 @@ t as (select *, row_number() over (partition by x order by w desc, y) as k from
 s as (select x, count(*) as n, string_agg('- V' || y || ' (' || w || ')', chr(10) order by k) as txt from t where k <= 15 group by 1),
 r as (select c.*, row_number() over (order by score desc, id) as rank from c)
 select rank, 'V' || id as entity, score, coalesce(n, 0)::int as n_relationships, '=== [' || rank || '] V' || id || ' (' || printf('%.6f', score) || ') ===' || chr(10) || coalesce(txt, 'no relationships') as context from r left join s on r.id = s.x""",
-    "vector_topk_batch": f"with {_V}, p as (select a.id as query, b.id as id, round((1 + list_dot_product(a.e, b.e) / (a.n * b.n)) / 2, 6) as score from u a join u b on a.id <> b.id where a.id % 100 = 0), r as (select *, row_number() over (partition by query order by score desc, id) as rank from p) select query, id, round(score, 5) as score, rank from r where rank <= 10",
+    "vector_topk_batch": f"with {_V}, p as (select a.id as query, b.id as id, round((1 + list_dot_product(a.e, b.e) / (a.n * b.n)) / 2, 6) as score from u a join u b on a.id <> b.id where a.id % 100 = 0), r as (select *, row_number() over (partition by query order by score desc, id) as rank from p) select query, id, score, rank from r where rank <= 10",
     "keyword_contains": "select ref_id as id, canonical_name as name, 1.0::double as score from ref_entities where contains(lower(canonical_name), 'zoran') order by canonical_name, ref_id limit 3",
     "node_top_neighbours": "with b as (select source as x, target as y, coalesce(weight, 0.0) as w from edges where source is not null and target is not null and source <> target union all select target, source, coalesce(weight, 0.0) from edges where source is not null and target is not null and source <> target), g as (select x, y, max(w) as w from b group by 1, 2), r as (select *, row_number() over (partition by x order by w desc, y) as k from g) select x, string_agg(y, '|' order by k) as near, count(*) as n from r where k <= 5 group by 1",
     "enriched_text": "select distinct id, 'passage: ' || entity_name || '. ' || case when length(f) > 300 then left(f, 300) || '...' else f end as text from (select id, entity_name, coalesce(list_filter(descriptions, lambda d: d is not null)[1], '-') as f from nodes where entity_name is not null)",

@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(kgweave)
 #: Largest side that is broadcast by an explicit hint, in bytes of its data.
 BROADCAST_BYTES = 64 << 20
 
+_own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -27,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="kgweave-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="kgweave-"))
     return where.rstrip("/")
 
 
