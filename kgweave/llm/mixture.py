@@ -79,7 +79,8 @@ def pivotal(ids: np.ndarray, p: np.ndarray, size: np.ndarray, seed: int) -> np.n
     """p with all but at most one entry 0 or 1, and the same sum of p * size.
 
     From the largest record to the smallest, each meets the one still open, so that a small one is left in the end.
-    Records that are large beside all smaller ones together meet those as one, in proportion to what they can give or take.
+    Records that are large beside all smaller ones together meet those as one, each of which gives or takes in
+    proportion to p (1 - p) size, so that every expectation is kept.
     """
     chance, p, order = _random(ids, seed), np.round(p, 12), np.lexsort((ids, -size))
     rest_size = np.cumsum(size[order][::-1])[::-1]
@@ -87,13 +88,15 @@ def pivotal(ids: np.ndarray, p: np.ndarray, size: np.ndarray, seed: int) -> np.n
         if size[k] * LARGE < rest_size[at + 1]:
             break
         rest = order[at + 1 :]
-        give, take = (p[rest] * size[rest]).sum(), ((1 - p[rest]) * size[rest] * (p[rest] > 0)).sum()
-        up, down = min((1 - p[k]) * size[k], give), min(p[k] * size[k], take)
-        if EPS < p[k] < 1 - EPS and up + down > EPS:
-            if chance[k] * (up + down) < down:
-                p[k], p[rest] = p[k] + up / size[k], p[rest] * (1 - up / give if give else 1)
-            else:
-                p[k], p[rest] = p[k] - down / size[k], np.where(p[rest] > 0, 1 - (1 - p[rest]) * (1 - down / take if take else 1), 0.0)
+        room = p[rest] * (1 - p[rest]) * size[rest]
+        if not EPS < p[k] < 1 - EPS or room.sum() <= EPS:
+            continue
+        some = room > 0
+        up = min((1 - p[k]) * size[k], room.sum() / (1 - p[rest][some]).max())
+        down = min(p[k] * size[k], room.sum() / p[rest][some].max())
+        move = up if chance[k] * (up + down) < down else -down
+        p[k] += move / size[k]
+        p[rest] = np.clip(p[rest] - move * room / room.sum() / size[rest], 0.0, 1.0)
     out, current = p.tolist(), -1
     for k in order.tolist():
         if not EPS < out[k] < 1 - EPS:
