@@ -28,10 +28,10 @@ def _with_sets(base: DataFrame, df: DataFrame, keys: list[str], columns: dict[st
 
 
 def entity_groups(mentions: DataFrame) -> DataFrame:
-    """One row per upper-cased, trimmed name: sets of types, descriptions and chunks, number of mentions."""
+    """One row per upper-cased, trimmed name: sets of types, descriptions and chunks, and the number of mentions."""
     named = mentions.withColumn("name", F.upper(F.trim("entity_name"))).where("name <> ''")
     base = named.groupBy("name").agg(F.count("*").alias("n"))
-    return _with_sets(base, named, ["name"], {"entity_types": "types", "source_chunks": "chunks"})
+    return _with_sets(base, named, ["name"], {"entity_types": "types", "descriptions": "descriptions", "source_chunks": "chunks"})
 
 
 def relation_groups(edges: DataFrame, ordered: bool = True) -> DataFrame:

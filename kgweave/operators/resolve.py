@@ -22,21 +22,38 @@ def block(name: Column) -> Column:
     return F.substring(F.regexp_replace(name, "[^A-Z0-9]", ""), 1, 4)
 
 
+def _cut(df: DataFrame, threshold: int) -> DataFrame:
+    """Adds, for texts of length l, the number of parts, and one row per part with its start and length.
+
+    A text of length l has at most as many edits as parts less one to any text it may be paired with, so one part of the
+    shorter text of a pair occurs in the longer one unchanged."""
+    df = df.withColumn("parts", (F.floor(F.floor(F.col("l") * 100 / threshold) * (100 - threshold) / 100) + 1).cast("int"))
+    df = df.withColumn("i", F.explode(F.sequence(F.lit(1), "parts"))).withColumns({"base": F.floor(F.col("l") / F.col("parts")).cast("int"), "short": F.col("parts") - F.col("l") % F.col("parts")})
+    return df.withColumns({"start": (F.col("i") - 1) * F.col("base") + F.greatest(F.lit(0), F.col("i") - 1 - F.col("short")) + 1, "len": F.col("base") + (F.col("i") > F.col("short")).cast("int")})
+
+
 def fuzzy_pairs(names: DataFrame, threshold: int = 90) -> DataFrame:
     """(a, b, score) of names(name, text) in the same block with the same signature and similar text.
 
-    Block, signature and a length band are join keys, so that a common block is spread; a pair of the score's length
-    difference is in the same band or the next."""
-    width = 8
+    A join on unchanged parts: the shorter text of a pair is cut into one part more than the edits allowed, and the
+    longer one is looked up at the positions where a part can be. Block, signature, length and part are join keys, so a
+    common block is never compared with itself row by row."""
     rows = names.select("name", "text", block(F.col("name")).alias("k"), signature(F.col("name")).alias("s"), F.length("text").alias("n")).where("n > 0")
-    left = rows.withColumn("band", F.explode(F.sequence(F.floor((F.col("n") * threshold / 100) / width), F.floor((F.col("n") * 100 / threshold) / width))))
-    right = rows.withColumn("band", F.floor(F.col("n") / width))
-    a, b = left.alias("a"), right.alias("b")
-    longest = F.greatest("a.n", "b.n")
-    most = F.floor(longest * (100 - threshold) / 100)
-    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.name") < F.col("b.name"))
-    near = a.join(b, on).where(F.abs(F.col("a.n") - F.col("b.n")) <= most).withColumn("d", F.levenshtein("a.text", "b.text")).withColumn("longest", longest)
-    return near.where(F.col("d") <= most).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(100 * (1 - F.col("d") / F.col("longest")), 4).alias("score"))
+    keys = ["k", "s", "l", "i", "part"]
+    index = _cut(rows.withColumn("l", F.col("n")), threshold).select("name", "text", "k", "s", "l", "i", F.expr("substring(text, start, len)").alias("part"))
+    probe = _cut(rows.withColumn("l", F.explode(F.sequence(F.ceil(F.col("n") * threshold / 100).cast("int"), "n"))), threshold)
+    more, left = F.col("n") - F.col("l"), F.col("parts") - F.col("i")
+    probe = probe.withColumns(
+        {
+            "low": F.greatest(F.col("start") - F.col("i") + 1, F.col("start") + more - left, F.lit(1)),
+            "high": F.least(F.col("start") + F.col("i") - 1, F.col("start") + more + left, F.col("n") - F.col("len") + 1),
+        }
+    ).where("low <= high")
+    probe = probe.withColumn("at", F.explode(F.sequence("low", "high"))).select(F.col("name").alias("other"), F.col("text").alias("other_text"), "k", "s", "l", "i", F.expr("substring(text, at, len)").alias("part"), "n")
+    met = index.join(probe, keys).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"), "text", "other_text", "n").dropDuplicates(["a", "b"])
+    most = F.floor(F.col("n") * (100 - threshold) / 100).cast("int")
+    scored = met.withColumn("d", F.levenshtein("text", "other_text")).where(F.col("d") <= most)
+    return scored.select("a", "b", F.round(100 * (1 - F.col("d") / F.col("n")), 4).alias("score"))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

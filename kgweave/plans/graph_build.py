@@ -120,11 +120,12 @@ from (select a, b, sum(w) as weight, count(*) as n from e2 group by 1, 2) g left
 
 SQL = {
     "entity_exact_groups": """
-with m as (select upper(trim(entity_name)) as name, entity_types, source_chunks from nodes where trim(entity_name) <> ''),
+with m as (select upper(trim(entity_name)) as name, entity_types, descriptions, source_chunks from nodes where trim(entity_name) <> ''),
 t as (select name, string_agg(distinct x, '|' order by x) as types from (select name, unnest(entity_types) as x from m) where x is not null group by 1),
-c as (select name, string_agg(distinct x, '|' order by x) as chunks from (select name, unnest(source_chunks) as x from m) where x is not null group by 1)
-select g.name, g.n, coalesce(t.types, '') as types, coalesce(c.chunks, '') as chunks
-from (select name, count(*) as n from m group by 1) g left join t using (name) left join c using (name)""",
+c as (select name, string_agg(distinct x, '|' order by x) as chunks from (select name, unnest(source_chunks) as x from m) where x is not null group by 1),
+d as (select name, string_agg(distinct x, '|' order by x) as descriptions from (select name, unnest(descriptions) as x from m) where x is not null group by 1)
+select g.name, g.n, coalesce(t.types, '') as types, coalesce(d.descriptions, '') as descriptions, coalesce(c.chunks, '') as chunks
+from (select name, count(*) as n from m group by 1) g left join t using (name) left join d using (name) left join c using (name)""",
     "relation_exact_groups": _relations("s", "t"),
     "relation_unordered_groups": _relations("least(s, t)", "greatest(s, t)"),
     "graph_rebuild_nodes": f"""

@@ -22,7 +22,7 @@ def stream_entity_groups(spark, sf_dir):
     schema = table(spark, sf_dir, "nodes").schema
     S.run_groups(S.new_files(spark, f"{sf_dir}/nodes.parquet*", schema), out, checkpoint).awaitTermination()
     groups = S.merged_groups(spark.read.parquet(out))
-    return groups.select("name", "n", F.coalesce(F.array_join("types", "|"), F.lit("")).alias("types"), F.coalesce(F.array_join("chunks", "|"), F.lit("")).alias("chunks"))
+    return groups.select("name", "n", *[F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("types", "descriptions", "chunks")])
 
 
 def stream_append_log(spark, sf_dir):

@@ -15,14 +15,14 @@ def new_files(spark: SparkSession, path: str, schema, form: str = "parquet", per
 def partial_groups(mentions: DataFrame) -> DataFrame:
     """Partial entity groups: counts and item sets that can be merged later."""
     named = mentions.withColumn("name", F.upper(F.trim("entity_name"))).where("name <> ''")
-    return named.groupBy("name").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("entity_types"))).alias("types"), F.array_distinct(F.flatten(F.collect_set("source_chunks"))).alias("chunks"))
+    return named.groupBy("name").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("entity_types"))).alias("types"), F.array_distinct(F.flatten(F.collect_set("descriptions"))).alias("descriptions"), F.array_distinct(F.flatten(F.collect_set("source_chunks"))).alias("chunks"))
 
 
 def merged_groups(partials: DataFrame) -> DataFrame:
     """Partial groups of any number of batches put together; each batch counts once, however often it was written."""
     p = partials.dropDuplicates(["batch", "name"])
     base = p.groupBy("name").agg(F.sum("n").alias("n"))
-    for c in ("types", "chunks"):
+    for c in ("types", "descriptions", "chunks"):
         items = p.select("name", F.explode(c).alias("item")).where("item is not null").distinct().groupBy("name").agg(F.array_sort(F.collect_list("item")).alias(c))
         base = base.join(items, "name", "left")
     return base

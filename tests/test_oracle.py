@@ -3,9 +3,9 @@
 import pytest
 from oracle import compare, duck
 
-from kgweave.plans import evaluation, graph_analytics, graph_build, incremental, integrity, resolution, search, text_cleaning
+from kgweave.plans import evaluation, graph_analytics, graph_build, incremental, integrity, models, resolution, search, text_cleaning
 
-MODULES = [search, text_cleaning, resolution, graph_build, graph_analytics, evaluation, integrity, incremental]
+MODULES = [search, text_cleaning, resolution, graph_build, graph_analytics, evaluation, models, integrity, incremental]
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 SQL = {n: q for m in MODULES for n, q in getattr(m, "SQL", {}).items()}
 

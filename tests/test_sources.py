@@ -49,7 +49,7 @@ def test_graphml(spark):
 
 
 def test_incremental(spark, tmp_path):
-    schema = "entity_name string, entity_types array<string>, source_chunks array<string>"
+    schema = "entity_name string, entity_types array<string>, descriptions array<string>, source_chunks array<string>"
     files, out, checkpoint = (str(tmp_path / x) for x in ("files", "out", "checkpoint"))
 
     def add(rows):
@@ -57,5 +57,5 @@ def test_incremental(spark, tmp_path):
         ingest.run_groups(ingest.new_files(spark, files, schema), out, checkpoint).awaitTermination()
         return {r["name"]: (r["n"], r["types"]) for r in ingest.merged_groups(spark.read.parquet(out)).collect()}
 
-    assert add([("a", ["x"], None), (" A ", ["y"], ["c"])]) == {"A": (2, ["x", "y"])}
-    assert add([("a", ["z"], None), ("b", None, None)]) == {"A": (3, ["x", "y", "z"]), "B": (1, None)}
+    assert add([("a", ["x"], None, None), (" A ", ["y"], ["d"], ["c"])]) == {"A": (2, ["x", "y"])}
+    assert add([("a", ["z"], None, None), ("b", None, None, None)]) == {"A": (3, ["x", "y", "z"]), "B": (1, None)}

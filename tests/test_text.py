@@ -165,3 +165,40 @@ def test_fuzzy_pairs_brute(spark):
     want = {(a, b) for a in names for b in names if a < b and a and a[:4] == b[:4] and dist(a, b) <= max(len(a), len(b)) * 10 // 100}
     got = V.fuzzy_pairs(spark.createDataFrame([(n, n) for n in names], "name string, text string"))
     assert {(r["a"], r["b"]) for r in got.collect()} == want and want
+
+
+def test_output_checks(spark):
+    from kgweave.operators import model_steps as M
+
+    long = "một câu dài hơn sáu mươi ký tự để kiểm tra phần cuối của văn bản này"
+    cases = {"Xin lỗi, tôi không thể trả lời": True, "As an AI": True, "bình thường": False, None: False}
+    for text, want in cases.items():
+        assert one(spark, text, M.is_refusal) == want
+    for text, reason, want in (("ngắn", "length", True), ("ngắn", "stop", False), (long + ".", "stop", False), (long + " và", "stop", True), (long + " (abc", "stop", True), (long, "stop", False), (None, None, False), ("x" * 200, "stop", True)):
+        assert one(spark, text, lambda c, r=reason: M.is_broken_off(c, F.lit(r), F.lit(0))) == want, text
+    assert one(spark, '{"title": "a"}', lambda c: M.read_report(c).isNull())
+    assert one(spark, 'x {"title": "a", "findings": []} y', lambda c: M.read_report(c)["title"]) == "a"
+
+
+def test_model_steps(spark):
+    from kgweave.operators import model_steps as M
+    from kgweave.operators import retrieval
+
+    chunks = spark.createDataFrame([("c1", "Có 7 trường hợp đau ngực liên quan đến van tim. Hết."), ("c2", "")], "chunk_id string, content string")
+    assert [r["name"] for r in R.parsed_entities(M.extracted(chunks).select("chunk_id", "raw")).orderBy("name").collect()] == ["VAN TIM", "ĐAU NGỰC"]
+    again = M.extracted(chunks, check=Offline(lambda p: "YES" if "ĐAU" in p else "NO"), more=Offline(lambda p: '("entity"<|>X<|>T<|>d)')).collect()
+    assert {r["chunk_id"]: "<|>X<|>" in r["raw"] for r in again} == {"c1": True, "c2": False}
+    items = spark.createDataFrame([(1, ["b", "a", "b "]), (2, ["x"]), (3, None)], "id bigint, items array<string>")
+    assert {r["id"]: r["text"] for r in M.consolidated(items).collect()} == {1: "a; b", 2: "x", 3: None}
+    v = spark.createDataFrame([(i, hashed_vector(f"đau ngực {i}", 16)) for i in range(9)], "id bigint, embedding array<double>")
+    links = spark.createDataFrame([(i, (i + 1) % 9, 5) for i in range(9)], "x bigint, y bigint, w bigint")
+    text = M.ask_local(spark, v, v.select("id", F.concat(F.lit("V"), F.col("id").cast("string")).alias("name")), lambda centres: links, "đau ngực 3")
+    assert text.startswith("=== [1] V3") and retrieval.hybrid
+    with pytest.raises(ValueError):
+        M.ask_local(spark, v, v, lambda c: links, " ")
+
+
+def test_no_leak(spark):
+    names = ["VIÊM {GAN}", "a<|>b", "ENTITY x", "KEYWORD", "x; y", "GAN"]
+    df = R.audit(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert {r["name"]: r["status"] for r in df.collect()} == {"VIÊM {GAN}": "SUCCESS_RECOVERY", "a<|>b": "FAILED_LEAK", "ENTITY x": "SUCCESS_DROP_NOISE", "KEYWORD": "FAILED_LEAK", "x; y": "FAILED_LEAK", "GAN": "CLEAN"}
