@@ -147,12 +147,16 @@ class Reader:
         return "".join(ts), "".join(t for t in ts if t not in quals), " ".join(sorted(quals)), code
 
     def forms(self, name: str) -> list[tuple[str, str, str, str]]:
-        """The form of a name, and of the name with its first word put last, as typed lists are often turned round."""
+        """The form of a name, then those with its first word put last and its last put first, as lists are often turned
+        round; words that name nothing may stand before or within what was turned."""
         words = [t for w in key_of(name).split() if (t := self.tokens(w))]
         if not words:
             return []
-        turned = words[1:] + words[:1]
-        return list(dict.fromkeys(self.form([t for w in ws for t in w], True) for ws in (words, turned)))
+        out = []
+        for ws in (words, words[1:] + words[:1]):
+            plain = self.strip([t for w in ws for t in w])
+            out += [plain, plain[1:] + plain[:1], plain[-1:] + plain[:-1]]
+        return list(dict.fromkeys(self.form(ts, True) for ts in out))
 
 
 _FORM = "array<struct<letters:string,core:string,quals:string,code:string>>"
