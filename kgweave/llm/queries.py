@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.llm import groups, linking, mixture, subjects, survivors, tokens, unify
+from kgweave.plans.sql import form, key
 from kgweave.session import table
 
 
@@ -81,5 +82,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in QUERIES}
 
 
+_GROUPS = """recursive p as (select entity_name as a, mapped_to as b from fuzzy_mapping_report where entity_name <> mapped_to),
+x as (select a, b from p union select b, a from p), r(v, c) as (select a, a from x union select r.v, x.b from r join x on r.c = x.a),
+l as (select v, min(c) as g from r group by 1), n as (select entity_name as v from fuzzy_mapping_report union select mapped_to from fuzzy_mapping_report),
+found as (select coalesce(g, v) as group_name, v as entity_name from n left join l using (v) where v is not null)"""
+
+_SAYS = f"list_filter(list_transform({{0}}, lambda x: upper(trim(regexp_replace(x, '[ \\t\\n]+', ' ', 'g')))), lambda x: x is not null and x not in ({', '.join(repr(p) for p in survivors.PLACEHOLDERS)}))"
+_BEST = ", ".join(f"max(coalesce({c}, {low})) over (partition by k) = coalesce({c}, {low}) as is_{c}" for c, low in (("d", -1), ("t", -1), ("occurrence_count", -1), ("extracted_at", "timestamp '0001-01-01'"), ("trust", -1)))
+
+SQL = {
+    "p2_found": f"with {_GROUPS} select group_name, entity_name from found",
+    "p2_sizes": f"with {_GROUPS}, s as (select group_name, count(*) as n_names from found group by 1) select n_names, count(*) as n_groups from s group by 1",
+    "p3_found": " union ".join(f"select '{t}' as table_name, id, '{c}' as field_name from {t} where {form(c)} <> {c}" for t, c in (("nodes", "entity_name"), ("edges", "source"), ("edges", "target"))),
+    "p4_found": f"""
+with s as (select id, {key('entity_name')} as k, len(list_distinct({_SAYS.format('descriptions')})) as d, len(list_distinct({_SAYS.format('entity_types')})) as t, occurrence_count, extracted_at, trust
+  from nodes left join extractors using (extractor) where entity_name is not null),
+b as (select id, min(id) over (partition by k) <> max(id) over (partition by k) as several, {_BEST} from s where k <> '')
+select distinct id from b where several and is_d and is_t and is_occurrence_count and is_extracted_at and is_trust""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
