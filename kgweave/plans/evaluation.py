@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from kgweave.operators import retrieval as R
 from kgweave.plans.search import _R, _V, _reports, _vectors
+from kgweave.plans.sql import as_int
 from kgweave.session import table
 
 
@@ -147,3 +148,8 @@ select *, case when hr5 >= 70 and mrr >= 0.6 then 'production' when hr5 >= 50 th
     "points_context": "select user_id, '[' || string_agg(distinct '\"' || event_type || '\"', ',' order by '\"' || event_type || '\"') || ']' as types, count(*) as n from events where event_id % 50 = 0 group by 1",
     "node_sizes": "select distinct id, greatest(10.0, least(50.0, degree / 2)) as size from nodes where degree is not null",
 }
+
+_INT = {
+    "stratified_sample": ["rank"],
+}
+SQL |= {name: as_int(SQL[name], *columns) for name, columns in _INT.items()}

@@ -11,6 +11,7 @@ from kgweave.operators import answers as A
 from kgweave.operators import budget as B
 from kgweave.operators import retrieval as R
 from kgweave.providers import Offline, complete
+from kgweave.plans.sql import as_int
 from kgweave.session import table
 
 _TOK = "cast(floor(len(list_filter(string_split_regex({0}, '[ \\t\\n\\r]+'), lambda w: w <> '')) * 13 // 10) as int)"
@@ -225,3 +226,12 @@ select bin, sum(tokens)::int as tokens, count(*) as n, min(id) as first from r g
     "answer_cleaning": "select ref_id, '{\"t\": \"' || canonical_name || '\"}' as clean, canonical_name as t from ref_entities",
     "report_markdown": "select ref_id, '### ' || canonical_name || chr(10) || entity_type || case when len(aliases) > 0 then chr(10) || array_to_string(list_transform(aliases, lambda a: '- ' || a || ': alias'), chr(10)) else '' end || chr(10) || '---' || chr(10) as md from ref_entities",
 }
+
+_INT = {
+    "hybrid_local_context": ["rank"],
+    "vector_topk_batch": ["rank"],
+    "embedding_coverage": ["dims"],
+    "embedding_writeback": ["dims"],
+    "reduce_context_prefix": ["k"],
+}
+SQL |= {name: as_int(SQL[name], *columns) for name, columns in _INT.items()}

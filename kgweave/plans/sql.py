@@ -20,3 +20,8 @@ def form(column: str) -> str:
 
 def key(column: str) -> str:
     return f"upper(trim(regexp_replace({form(column)}, ' +', ' ', 'g')))"
+
+
+def as_int(sql: str, *columns: str) -> str:
+    """The query with these columns as 32-bit integers."""
+    return f"select * replace ({', '.join(f'{c}::int as {c}' for c in columns)}) from ({sql})"

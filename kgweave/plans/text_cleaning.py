@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from kgweave.functions import text as X
 from kgweave.operators import lines as L
 from kgweave.operators.entities import dense_ids
+from kgweave.plans.sql import as_int
 from kgweave.session import table
 
 BASE = "https://example.invalid"
@@ -218,3 +219,15 @@ SQL = {
     "refetch": "select doc_id from documents where published_date is null or published_date in ('Unknown', 'Error', 'N/A')",
     "chunk_ids": "with c as (select chunk_id, min(metadata.source_file) as f, min(metadata.split_order) as o from chunks where chunk_id is not null group by 1), k as (select *, row_number() over (partition by f order by o nulls first, chunk_id) - 1 as k from c where f is not null) select chunk_id, k as split_order, regexp_replace(f, '\\.md$', '') || '_chunk_' || lpad(k::varchar, greatest(4, length(k::varchar))::int, '0') as new_id from k",
 }
+
+_INT = {
+    "header_carry_forward": ["pos"],
+    "true_start_page": ["first"],
+    "stop_signal_prefix": ["last"],
+    "complex_pages": ["pos"],
+    "table_loss": ["n_bars", "n_rules"],
+    "boundary_tokens": ["k"],
+    "length_profile": ["low", "high"],
+    "chunk_ids": ["split_order"],
+}
+SQL |= {name: as_int(SQL[name], *columns) for name, columns in _INT.items()}
