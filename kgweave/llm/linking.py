@@ -171,6 +171,15 @@ def _forms(col: Column | str, words: list[str]) -> Column:
     return read(col)
 
 
+def _plain(col: Column | str, words: list[str]) -> Column:
+    @F.pandas_udf("string")
+    def letters(names: pd.Series) -> pd.Series:
+        r = Reader(words)
+        return pd.Series(["".join(r.strip([t for w in key_of(n).split() for t in r.tokens(w)])) if n else "" for n in names], dtype=object)
+
+    return letters(col)
+
+
 def slips_between(forms, core: str, letters: str, quals: str, codes, kind: str) -> int | None:
     """Slips between a name's best form and an entry's form, or None where they can't be the same thing."""
     best = None
@@ -265,8 +274,8 @@ def candidates(names: DataFrame, canonical: DataFrame) -> DataFrame:
     small = small_enough(index, 128) and small_enough(entry, 2048)
     near = F.broadcast if small else (lambda d: d)
 
-    read = names.where("trim(name) <> ''").distinct().repartition(lanes(spark), "name").select("name", _forms("name", words).alias("forms"))
-    read = materialize(read.where(F.size("forms") > 0).select(F.monotonically_increasing_id().alias("nid"), "name", "forms", _grams(F.col("forms")[0]["letters"]).alias("grams")), "p1 names")
+    read = names.where("trim(name) <> ''").distinct().repartition(lanes(spark), "name").select("name", _plain("name", words).alias("letters"))
+    read = materialize(read.where("letters <> ''").select(F.monotonically_increasing_id().alias("nid"), "name", _grams(F.col("letters")).alias("grams")), "p1 names")
     read = read.repartition(lanes(spark), "nid")
     weighed = read.select("nid", F.explode("grams").alias("gram")).join(near(weights), "gram", "left").withColumn("w", F.coalesce("w", F.lit(unknown)))
     shared = _rarest(weighed, "nid").select("nid", "gram", F.col("norm2").alias("q2")).join(near(index), "gram")
@@ -274,8 +283,11 @@ def candidates(names: DataFrame, canonical: DataFrame) -> DataFrame:
     # What the index leaves out adds less than CUT to a cosine.
     pairs = pairs.where(F.col("part") >= (THRESHOLD - CUT) * F.sqrt(F.col("q2") * F.col("r2")))
     dot = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.coalesce(F.col("r")[g], F.lit(0.0)))
-    scored = pairs.join(read, "nid").join(near(entry), "form_id").withColumn("cosine", dot / F.sqrt(F.col("q2") * F.col("r2"))).where(F.col("cosine") >= THRESHOLD)
-    checked = scored.withColumn("slips", _checked("forms", "core", "letters", "quals", "codes", "kind"))
+    scored = pairs.join(read, "nid").join(near(entry.select("form_id", "r")), "form_id").withColumn("cosine", dot / F.sqrt(F.col("q2") * F.col("r2"))).where(F.col("cosine") >= THRESHOLD)
+    scored = materialize(scored.select("name", "form_id", "cosine"), "p1 scored")
+    # Only names with a candidate are read in all their forms.
+    forms_of = scored.select("name").distinct().withColumn("forms", _forms("name", words))
+    checked = scored.join(forms_of, "name").join(near(entry.drop("r")), "form_id").withColumn("slips", _checked("forms", "core", "letters", "quals", "codes", "kind"))
     return checked.where("slips is not null").select("name", "ref_id", "cosine", "slips")
 
 
