@@ -282,8 +282,8 @@ def candidates(names: DataFrame, canonical: DataFrame) -> DataFrame:
     pairs = shared.groupBy("nid", "form_id").agg(F.sum(F.col("w") ** 2).alias("part"), F.max("q2").alias("q2"), F.max("r2").alias("r2"))
     # What the index leaves out adds less than CUT to a cosine.
     pairs = pairs.where(F.col("part") >= (THRESHOLD - CUT) * F.sqrt(F.col("q2") * F.col("r2")))
-    dot = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.coalesce(F.col("r")[g], F.lit(0.0)))
-    scored = pairs.join(read, "nid").join(near(entry.select("form_id", "r")), "form_id").withColumn("cosine", dot / F.sqrt(F.col("q2") * F.col("r2"))).where(F.col("cosine") >= THRESHOLD)
+    dot = F.aggregate(F.array_intersect("grams", "r_grams"), F.lit(0.0), lambda a, g: a + F.col("r")[g])
+    scored = pairs.join(read, "nid").join(near(entry.select("form_id", "r", F.map_keys("r").alias("r_grams"))), "form_id").withColumn("cosine", dot / F.sqrt(F.col("q2") * F.col("r2"))).where(F.col("cosine") >= THRESHOLD)
     scored = materialize(scored.select("name", "form_id", "cosine"), "p1 scored")
     # Only names with a candidate are read in all their forms.
     forms_of = scored.select("name").distinct().withColumn("forms", _forms("name", words))
