@@ -112,6 +112,16 @@ def canonical_column(col: Column | str) -> Column:
     return consistent(col)
 
 
+def composed(col: Column | str) -> Column:
+    """Marks composed with their letters (NFC) and nothing else changed; null for null."""
+
+    @F.pandas_udf("string")
+    def nfc(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+    return nfc(col)
+
+
 def name_key(col: Column | str) -> Column:
     """The key of a name; null for null. Python works on Arrow batches; the quick check keeps it cheap."""
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgweave.functions.text import ACCENTED, PLAIN, plain_upper
+from kgweave.functions.names import composed
+from kgweave.functions.text import ACCENTED, PLAIN
 from kgweave.operators import records as R
 from kgweave.operators import resolve as V
 from kgweave.session import materialize, table
@@ -75,11 +76,16 @@ def abbreviation_map(spark, sf_dir):
     return a.groupBy("alias").agg(F.max_by("canonical_name", "ref_id").alias("long"), F.count("*").alias("n"))
 
 
+def _letters(name):
+    """Letters and digits of a name in capitals, marks kept."""
+    return F.regexp_replace(name, "[^A-Z0-9À-Ỹ]", "")
+
+
 def _fuzzy_names(spark, sf_dir):
-    """Names as plain ASCII capitals, as both engines measure those alike."""
-    plain = F.trim(F.regexp_replace(plain_upper(F.col("entity_name")), "[^A-Z0-9 ]", ""))
-    n = table(spark, sf_dir, "nodes").where("entity_name is not null").select(plain.alias("name")).where("name <> ''").distinct()
-    return n.select("name", F.replace("name", F.lit(" "), F.lit("")).alias("text"))
+    """The different names in composed capitals with their marks, single spaces. The SQL below folds the marks."""
+    name = F.trim(F.regexp_replace(F.upper(composed("entity_name")), r"(?U)\s+", " "))
+    n = table(spark, sf_dir, "nodes").select("entity_name").where("entity_name is not null").distinct().select(name.alias("name")).where("name <> ''").distinct()
+    return n.select("name", _letters(F.col("name")).alias("text"))
 
 
 _PAIRS = f"""n as (select distinct trim(regexp_replace(translate(upper(entity_name), '{ACCENTED}', '{PLAIN}'), '[^A-Z0-9 ]', '', 'g')) as name from nodes where entity_name is not null),
@@ -101,7 +107,7 @@ def fuzzy_components(spark, sf_dir):
 
 
 def medoid_names(spark, sf_dir):
-    return V.medoids(_clusters(spark, sf_dir), F.replace("v", F.lit(" "), F.lit("")))
+    return V.medoids(_clusters(spark, sf_dir), _letters(F.col("v")))
 
 
 def shortest_names(spark, sf_dir):
