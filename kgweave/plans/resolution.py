@@ -47,8 +47,7 @@ def name_targets(spark, sf_dir):
 
 
 def structural_clean(spark, sf_dir):
-    """Names without a number after a letter, which SQL in DuckDB can't join for lack of look-behind."""
-    return _names(spark, sf_dir).where(~F.upper("name").rlike(r"[A-Z][ \t]+[0-9]")).select("name", R.cleaned(F.col("name")).alias("clean"))
+    return _names(spark, sf_dir).select("name", R.cleaned(F.col("name")).alias("clean"))
 
 
 def structural_audit(spark, sf_dir):

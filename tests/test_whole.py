@@ -37,3 +37,9 @@ def test_fuzzy_names_keep_marks(spark, tmp_path):
     assert not any("TRÁI" in a and "PHẢI" in b or "CẤP" in a and "MẠN" in b for a in label for b in label if label[a] == label[b])
     for query, column in ((resolution.medoid_names, "medoid"), (resolution.shortest_names, "name")):
         assert {r["component"]: label[r[column]] for r in query(spark, sf).collect()} == {c: c for c in label.values()}
+
+
+def test_structural_clean_joins_numbers(spark, tmp_path):
+    names = {"vitamin b 12": "VITAMIN B12", "B \t 6": "B6", "Covid 19 [nặng]": "COVID19 NẶNG", "độ 3": "ĐỘ 3", "12 A": "12 A", "viêm  gan": "VIÊM GAN"}
+    sf = written(spark, tmp_path, "nodes", [(n,) for n in [*names, None, "12 A"]], "entity_name string")
+    assert [tuple(r) for r in resolution.structural_clean(spark, sf).orderBy("name").collect()] == sorted(names.items())
