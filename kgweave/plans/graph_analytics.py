@@ -1,4 +1,4 @@
-"""Graph analytics over the strongest relationships, and over the matched names."""
+"""Graph analytics over the relationships, and over the matched names."""
 
 from __future__ import annotations
 
@@ -19,10 +19,6 @@ def _edges(spark, sf_dir):
     return G.parallel_sum(e)
 
 
-def _strong(spark, sf_dir):
-    return _edges(spark, sf_dir).where("w >= 9")
-
-
 def _members(spark, sf_dir):
     """Communities by first word of the name: a fixed membership that SQL can express."""
     e = _edges(spark, sf_dir)
@@ -81,16 +77,16 @@ def induced_subgraph(spark, sf_dir):
 
 
 def ego_graph(spark, sf_dir):
-    e = _strong(spark, sf_dir)
+    e = _edges(spark, sf_dir)
     return G.ego(e, G.most_connected(e, 1))
 
 
 def component_labels(spark, sf_dir):
-    return G.components(_strong(spark, sf_dir))
+    return G.components(_edges(spark, sf_dir))
 
 
 def community_hierarchy(spark, sf_dir):
-    return G.hierarchy(_strong(spark, sf_dir).withColumn("w", F.col("w") / 10))
+    return G.hierarchy(_edges(spark, sf_dir).withColumn("w", F.col("w") / 10))
 
 
 def community_levels(spark, sf_dir):

@@ -4,7 +4,7 @@ import re
 import unicodedata
 
 from kgweave.operators.resolve import CRITICAL, ROMAN
-from kgweave.plans import resolution
+from kgweave.plans import graph_analytics, resolution
 
 
 def written(spark, tmp_path, name, rows, schema):
@@ -43,3 +43,13 @@ def test_structural_clean_joins_numbers(spark, tmp_path):
     names = {"vitamin b 12": "VITAMIN B12", "B \t 6": "B6", "Covid 19 [nặng]": "COVID19 NẶNG", "độ 3": "ĐỘ 3", "12 A": "12 A", "viêm  gan": "VIÊM GAN"}
     sf = written(spark, tmp_path, "nodes", [(n,) for n in [*names, None, "12 A"]], "entity_name string")
     assert [tuple(r) for r in resolution.structural_clean(spark, sf).orderBy("name").collect()] == sorted(names.items())
+
+
+def test_graph_takes_weak_edges(spark, tmp_path):
+    edges = [("a", "b", 1.0), ("B ", "c", 2.0), ("c", "d", 0.5), ("d", "e", 3.0), ("x", "y", 1.0), ("x", "z", 20.0), ("a", "a2", 1.0), ("a", "a3", 1.0), ("a", "a", 9.0), (None, "q", 9.0)]
+    sf = written(spark, tmp_path, "edges", edges, "source string, target string, weight double")
+    assert {r["v"]: r["component"] for r in graph_analytics.component_labels(spark, sf).collect()} == {v: "A" for v in ("A", "A2", "A3", "B", "C", "D", "E")} | {v: "X" for v in "XYZ"}
+    assert {r["v"]: r["hops"] for r in graph_analytics.ego_graph(spark, sf).collect()} == {"A": 0, "A2": 1, "A3": 1, "B": 1, "C": 2}
+    rows = graph_analytics.community_hierarchy(spark, sf).collect()
+    assert {r["v"] for r in rows if r["level"] == 0} == {"A", "A2", "A3", "B", "C", "D", "E", "X", "Y", "Z"}
+    assert {r["n_vertices"] for r in graph_analytics.community_levels(spark, sf).collect()} == {10}
