@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,25 +59,31 @@ def retrieval_metrics(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    """Scores of 0 to 10 per event: a third have none, group B are refusals."""
+    """Scores of 0 to 10 per event, not-a-number for a third of them; group B are refusals."""
     e = table(spark, sf_dir, "events")
-    s = [(F.pmod(F.col("event_id") * k, F.lit(11))).cast("double").alias(c) for k, c in ((3, "faithfulness"), (5, "relevance"), (7, "comprehensiveness"))]
-    return e.select("event_id", *s, F.when(F.col("event_type") == "click", "B").otherwise("A").alias("grp")).where("event_id % 3 <> 0")
+    none = F.col("event_id") % 3 == 0
+    s = [F.when(none, F.lit(float("nan"))).otherwise(F.pmod(F.col("event_id") * k, F.lit(11)).cast("double")).alias(c) for k, c in ((3, "faithfulness"), (5, "relevance"), (7, "comprehensiveness"))]
+    return e.select("event_id", *s, F.when(F.col("event_type") == "click", "B").otherwise("A").alias("grp"))
 
 
 _J = "j as (select event_id, (event_id * 3 % 11)::double as faithfulness, (event_id * 5 % 11)::double as relevance, (event_id * 7 % 11)::double as comprehensiveness, case when event_type = 'click' then 'B' else 'A' end as grp from events where event_id % 3 <> 0)"
 _SCORES = ("faithfulness", "relevance", "comprehensiveness")
 
 
+def scored(rows: DataFrame) -> DataFrame:
+    """The rows that have all three scores: neither null nor not-a-number."""
+    return rows.dropna(subset=list(_SCORES))
+
+
 def judge_summary(spark, sf_dir):
-    j = _judged(spark, sf_dir)
+    j = scored(_judged(spark, sf_dir))
     aggs = [f(c).alias(f"{c}_{n}") for c in _SCORES for n, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("sd", lambda c: F.round(F.stddev_samp(c), 6)), ("low", F.min), ("high", F.max))]
     g = j.groupBy("grp").agg(F.count("*").alias("n"), *aggs, F.round(F.avg((F.col("faithfulness") == 10).cast("int")), 6).alias("perfect"))
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
 def failed_queries(spark, sf_dir):
-    return _judged(spark, sf_dir).where("faithfulness = 0 or relevance = 0 or comprehensiveness = 0").select("event_id", "grp")
+    return scored(_judged(spark, sf_dir)).where("faithfulness = 0 or relevance = 0 or comprehensiveness = 0").select("event_id", "grp")
 
 
 def rescaled_scores(spark, sf_dir):
@@ -109,7 +116,7 @@ def question_fanout(spark, sf_dir):
 
 def points_context(spark, sf_dir):
     """Points of answers flattened to one text per user."""
-    e = table(spark, sf_dir, "events").where("event_id % 50 = 0")
+    e = table(spark, sf_dir, "events")
     return e.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_set("event_type"))).alias("types"), F.count("*").alias("n"))
 
 

@@ -4,7 +4,7 @@ import re
 import unicodedata
 
 from kgweave.operators.resolve import CRITICAL, ROMAN
-from kgweave.plans import graph_analytics, resolution
+from kgweave.plans import evaluation, graph_analytics, resolution
 
 
 def written(spark, tmp_path, name, rows, schema):
@@ -53,3 +53,13 @@ def test_graph_takes_weak_edges(spark, tmp_path):
     rows = graph_analytics.community_hierarchy(spark, sf).collect()
     assert {r["v"] for r in rows if r["level"] == 0} == {"A", "A2", "A3", "B", "C", "D", "E", "X", "Y", "Z"}
     assert {r["n_vertices"] for r in graph_analytics.community_levels(spark, sf).collect()} == {10}
+
+
+def test_every_event_counts(spark, tmp_path):
+    sf = written(spark, tmp_path, "events", [(i, i % 4, "click" if i % 2 else "view") for i in range(1, 13)], "event_id bigint, user_id bigint, event_type string")
+    got = {r["user_id"]: (r["types"], r["n"]) for r in evaluation.points_context(spark, sf).collect()}
+    assert got == {0: ('["view"]', 3), 1: ('["click"]', 3), 2: ('["view"]', 3), 3: ('["click"]', 3)}
+    assert evaluation._judged(spark, sf).count() == 12
+    assert {r["grp"]: r["n"] for r in evaluation.judge_summary(spark, sf).collect()} == {"A": 4, "B": 4}
+    rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, None, 2.0, 3.0), (3, 1.0, float("nan"), 3.0)], "id bigint, faithfulness double, relevance double, comprehensiveness double")
+    assert [r["id"] for r in evaluation.scored(rows).collect()] == [1]
