@@ -66,7 +66,7 @@ ABBREVIATIONS = [("TP", "thành phố"), ("BN", "bệnh nhân"), ("XN", "xét ng
 
 
 def abbreviation_expansion(spark, sf_dir):
-    return _names(spark, sf_dir).where(F.col("name").rlike(r"^[A-Z]+ ")).select("name", R.expanded(F.col("name"), ABBREVIATIONS).alias("expanded"))
+    return _names(spark, sf_dir).select("name", R.expanded(F.col("name"), ABBREVIATIONS).alias("expanded"))
 
 
 def abbreviation_map(spark, sf_dir):

@@ -63,3 +63,9 @@ def test_every_event_counts(spark, tmp_path):
     assert {r["grp"]: r["n"] for r in evaluation.judge_summary(spark, sf).collect()} == {"A": 4, "B": 4}
     rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, None, 2.0, 3.0), (3, 1.0, float("nan"), 3.0)], "id bigint, faithfulness double, relevance double, comprehensiveness double")
     assert [r["id"] for r in evaluation.scored(rows).collect()] == [1]
+
+
+def test_every_name_is_expanded(spark, tmp_path):
+    names = {"viêm gan ở BN": "viêm gan ở bệnh nhân", "Điều trị HC": "Điều trị hội chứng", "XN": "xét nghiệm", "HCC gan": "ung thư gan gan", "đau ngực": "đau ngực"}
+    sf = written(spark, tmp_path, "nodes", [(n,) for n in [*names, None]], "entity_name string")
+    assert {r["name"]: r["expanded"] for r in resolution.abbreviation_expansion(spark, sf).collect()} == names
