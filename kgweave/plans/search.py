@@ -106,9 +106,10 @@ def edge_budget_prefix(spark, sf_dir):
 
 
 def reduce_context_prefix(spark, sf_dir):
-    """Points per level by score, numbered, until 21,000 characters."""
-    p = _reports(spark, sf_dir).where("tokens > 0").select(F.col("level").alias("key"), F.substring("text", 1, 400).alias("description"), F.col("tokens").cast("double").alias("score"), "id")
-    return A.ranked_context(p.withColumn("description", F.concat(F.col("id").cast("string"), F.lit(" "), "description"))).select("key", "k", "score", "total")
+    """Points per level by score, numbered, until 21,000 characters. The points are the lines of the reports, whole."""
+    lines = _reports(spark, sf_dir).select("id", F.col("level").alias("key"), F.explode(F.split("text", r"\r?\n")).alias("line"))
+    p = lines.withColumn("score", estimated_tokens(F.col("line")).cast("double")).where("score > 0")
+    return A.ranked_context(p.withColumn("description", F.concat(F.col("id").cast("string"), F.lit(" "), "line"))).select("key", "k", "score", "total")
 
 
 def description_budget(spark, sf_dir):

@@ -4,7 +4,7 @@ import re
 import unicodedata
 
 from kgweave.operators.resolve import CRITICAL, ROMAN
-from kgweave.plans import evaluation, graph_analytics, resolution
+from kgweave.plans import evaluation, graph_analytics, resolution, search
 
 
 def written(spark, tmp_path, name, rows, schema):
@@ -69,3 +69,17 @@ def test_every_name_is_expanded(spark, tmp_path):
     names = {"viêm gan ở BN": "viêm gan ở bệnh nhân", "Điều trị HC": "Điều trị hội chứng", "XN": "xét nghiệm", "HCC gan": "ung thư gan gan", "đau ngực": "đau ngực"}
     sf = written(spark, tmp_path, "nodes", [(n,) for n in [*names, None]], "entity_name string")
     assert {r["name"]: r["expanded"] for r in resolution.abbreviation_expansion(spark, sf).collect()} == names
+
+
+def test_points_are_whole_lines(spark, tmp_path):
+    texts = {5: "một hai ba\n\n" + "dài " * 300 + "\nba", 10: "x " * 4000 + "\ny z", 1: "a\n" + "b " * 11000, 2: None}
+    sf = written(spark, tmp_path, "documents", [(i, f"t{i}", t) for i, t in texts.items()], "doc_id bigint, title string, text string")
+    want = []
+    for level in (0, 1):
+        points = sorted((-(len(x.split()) * 13 // 10), f"{i} {x}") for i, t in texts.items() if t and i % 5 == level for x in t.split("\n") if x.strip())
+        total = 0
+        for k, (score, text) in enumerate(points, 1):
+            total += len(f"#{k} ({-score})\n{text}\n\n")
+            if total <= 21_000:
+                want.append((level, k, float(-score), total))
+    assert sorted(tuple(r) for r in search.reduce_context_prefix(spark, sf).collect()) == want and {w[0] for w in want} == {0} and want[0][3] > 8000
