@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,17 @@ def vector_pairs(vectors: DataFrame, least: float, tiles: int = 8) -> DataFrame:
     return spread.groupBy("i", "j").applyInPandas(multiply, "a bigint, b bigint, cosine double")
 
 
+def label_pairs(labels: list[str], embed: Callable[[str], list[float]], least: float) -> list[tuple[str, str]]:
+    """Pairs of a small label list whose vectors have a cosine above ``least``."""
+    import numpy as np
+
+    if not labels:
+        return []
+    m = np.array([embed(x) for x in labels], dtype=float)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    return [(labels[i], labels[j]) for i, j in zip(*np.nonzero(np.triu(m @ m.T, 1) > least))]
+
+
 def stars(labels: list[str], pairs: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
     """Greedy star groups of a label list: each label not in a group yet gathers all its neighbours; groups may overlap."""
     near: dict[str, set[str]] = {x: set() for x in labels}

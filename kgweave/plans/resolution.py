@@ -8,6 +8,7 @@ from kgweave.functions.names import composed
 from kgweave.functions.text import ACCENTED, PLAIN
 from kgweave.operators import records as R
 from kgweave.operators import resolve as V
+from kgweave.providers import hashed_vector
 from kgweave.session import materialize, table
 
 
@@ -135,11 +136,10 @@ def semantic_clusters(spark, sf_dir):
     return V.clusters(cosine_pairs(spark, sf_dir))
 
 
-def label_stars(spark, sf_dir):
-    """Greedy stars of subject labels that begin alike: the label list is small and comes to the driver in order."""
-    labels = [r[0] for r in table(spark, sf_dir, "subjects").orderBy("subject").select("label_vi").collect()]
-    pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :] if a[0] == b[0]]
-    return spark.createDataFrame([(h, ", ".join(g)) for h, g in V.stars(labels, pairs)], "head string, members string")
+def label_stars(spark, sf_dir, least: float = 0.8, embed=hashed_vector):
+    """Greedy stars of subject labels with a cosine above ``least``: the label list is small and comes to the driver in order."""
+    labels = [r[0] for r in table(spark, sf_dir, "subjects").where("label_vi is not null").orderBy("subject").select("label_vi").collect()]
+    return spark.createDataFrame([(h, ", ".join(g)) for h, g in V.stars(labels, V.label_pairs(labels, embed, least))], "head string, members string")
 
 
 QUERIES = {

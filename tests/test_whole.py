@@ -83,3 +83,11 @@ def test_points_are_whole_lines(spark, tmp_path):
             if total <= 21_000:
                 want.append((level, k, float(-score), total))
     assert sorted(tuple(r) for r in search.reduce_context_prefix(spark, sf).collect()) == want and {w[0] for w in want} == {0} and want[0][3] > 8000
+
+
+def test_label_stars_by_cosine(spark, tmp_path):
+    labels = ["bệnh tim mạch nội khoa", "ung thư", "nội khoa tim mạch bệnh", "bệnh da liễu", None]
+    sf = written(spark, tmp_path, "subjects", list(enumerate(labels)), "subject int, label_vi string")
+    assert [tuple(r) for r in resolution.label_stars(spark, sf).collect()] == [(labels[0], f"{labels[0]}, {labels[2]}")]
+    near = resolution.label_stars(spark, sf, embed=lambda x: [1.0, float("ung" in x)], least=0.7).collect()
+    assert [r["head"] for r in near] == ["ung thư"]
