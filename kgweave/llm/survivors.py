@@ -68,5 +68,5 @@ def built_records(nodes: DataFrame, extractors: DataFrame) -> DataFrame:
         best("occurrence_count", F.col("occurrence_count")),
         F.max("extracted_at").alias("extracted_at"),
         F.max("trust").alias("trust"),
-        F.approx_count_distinct("id").alias("about_records"),
+        F.countDistinct("id").alias("n_records"),
     )
