@@ -1,17 +1,25 @@
 """Mapping free-entered values to a canonical list (problem 1).
 
-Values are deduplicated and normalised (consistent characters, no marks, telex keystrokes of known words undone, words
-that name nothing and dose forms taken off). Candidates come from an inverted index of character trigrams of the
-canonical names, their aliases, and their forms with the leading words abbreviated; trigrams weigh their cubed
-inverse document frequency. The commonest trigrams of a name or entry, which together have less than CUT of its norm,
-are not looked up; what that leaves out is bounded, so that no candidate with a weighted cosine above the threshold is
-missed. Candidates above the
-threshold pass an exact check: distinguishing words (numbers, numerals, letters, sides, codes) must agree, and the rest
-may differ by at most EDITS typing slips. The best candidate must beat those of every other entry by its number of
-slips or by MARGIN in cosine, or the value is unmatched.
-
-Defined results: null and blank values are unmatched and give no row in ``link``; several records of one value get the
-same entry; entries with equal names go to the smaller id; repeated rows give one result; null or repeated aliases don't
+Values are deduplicated and normalised to plain words (consistent characters, upper case, no marks, keystrokes of the
+telex input method undone), and values of the same words are one. Candidates come from an inverted index of the
+character trigrams of the entries' names and aliases, weighed by their cubed inverse document frequency in the list; an
+entry isn't posted under its commonest trigrams, which together hold less than CUT of its norm. Entries whose trigram
+cosine reaches RETRIEVED are candidates.
+
+A candidate's score is a weighted cosine of words. A word of an entry weighs its letters times its squared inverse
+document frequency in the list; a word of a value that the entry doesn't have weighs its letters times its inverse
+document frequency among the values, so a word that is common beside many names costs little, and a long rare one, or
+one that is the rarest of another entry, costs much. Words are alike by their typing slips (at least ALIKE, else not at all), also where
+they were split or run together; an alias found as typed stands for the entry. The score must reach THRESHOLD, and beat
+that of every other entry by MARGIN unless it alone is 1. An exact check goes with it: distinguishing words must agree.
+Those are numbers, numerals, single letters and letters with numbers by their shape (a number with its unit is a
+quantity and distinguishes nothing), words of SIDES, and the words that specify in the list itself: those that stand
+only behind the rarest word of several entries. THRESHOLD lies between the scores of names two slips away from a word of
+seven letters (0.71) and those of names that share only what many entries have.
+
+Defined results: null and blank values, and those without a letter or digit, are unmatched and give no row in ``link``;
+several records of one value get the same entry; entries of the same words are one, with the smallest id and the aliases
+of all; an alias of two entries leaves a value unmatched; repeated rows give one result; null or repeated aliases don't
 count; an empty list leaves every value unmatched; other columns are ignored, whatever their names.
 """
 
@@ -20,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,38 +38,41 @@ from pyspark.sql.window import Window
 from kgweave.functions.names import key_of
 from kgweave.session import lanes, materialize, small_enough
 
-THRESHOLD, CUT, MARGIN, EDITS = 0.15, 0.07, 0.05, 2
-# Words that name no other thing when they are put before or after a name.
-BEFORE = ["DÙNG", "THUỐC", "HOẠT CHẤT", "LÀM", "CHẨN ĐOÁN", "NGHI", "MẮC", "BỊ", "VI KHUẨN", "CHỦNG"]
-AFTER = ["VIÊN NÉN", "VIÊN NANG", "DUNG DỊCH", "DẠNG TIÊM", "SIRO"]
-UNITS = ["MG", "G", "ML", "MCG", "IU"]
-PER = ["KG", "NGÀY", "LỌ", "ỐNG", "VIÊN"]
+RETRIEVED, CUT, ALIKE, THRESHOLD, MARGIN = 0.22, 0.25, 0.6, 0.6, 0.05
+#: Words count as frequent (among the values, or as specifying in the list) from one in so many; fewer are all alike.
+#: There are at most FREQUENT times the mean number of different words of them, so they may be sent to the workers.
+FREQUENT = 10_000
+# Words of place, by which one thing is told from another.
 SIDES = ["TRÁI", "PHẢI", "TRÊN", "DƯỚI", "TRƯỚC", "SAU", "TRONG", "NGOÀI"]
-# Keystrokes of the telex method.
-_TELEX_MARK = {"̂": None, "̆": "W", "̛": "W", "́": "S", "̀": "F", "̉": "R", "̃": "X", "̣": "J"}
 
-_QUALIFIER = re.compile(r"\d+|[IVX]{1,4}|[A-Z]\d{0,3}")
-_CODE = re.compile(r"[A-Z]{3}\d{2}")
+_NUMERAL = re.compile(r"(?=[IVX])X{0,3}(?:IX|IV|V?I{0,3})")
+_LETTERS_NUMBER = re.compile(r"[A-Z]+\d+")
+_QUANTITY = re.compile(r"\d+[A-Z]+")
+# A syllable as typed by telex: first consonants, vowels, last consonants, keystroke of the tone.
+_SYLLABLE = re.compile(r"((?:NGH|NH|NG|CH|TH|TR|PH|KH|GH|GI|QU|DD|[BCDGHKLMNPRSTVX])?)([AEIOUYW]+)((?:NG|NH|CH|[CMNPT])?)([SFRXJ]?)")
 
 
 def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).replace("Đ", "D")
 
 
-def telex(word: str) -> str:
-    """The keystrokes of an upper-case word."""
-    out, tone = "", ""
-    for c in unicodedata.normalize("NFD", word):
-        if c == "Đ":
-            out += "DD"
-        elif c in _TELEX_MARK:
-            if unicodedata.combining(c) == 230 and c not in "̂̆" or c == "̣":
-                tone = _TELEX_MARK[c]
-            else:
-                out += _TELEX_MARK[c] or out[-1]
-        else:
-            out += c
-    return out + tone
+_SIDES = frozenset(map(fold, SIDES))
+
+
+@lru_cache(1 << 17)
+def plain(word: str) -> str:
+    """An upper-case word without marks; a syllable typed by telex without the keystrokes of its marks."""
+    word = fold(word)
+    m = None if len(word) < 3 or _NUMERAL.fullmatch(word) else _SYLLABLE.fullmatch(word)
+    if not m:
+        return word
+    first, vowels, last, tone = m.groups()
+    bare = vowels.replace("AA", "A").replace("EE", "E").replace("OO", "O").replace("W", "")
+    return first.replace("DD", "D") + bare + last if bare and (tone or bare != vowels or first == "DD") else word
+
+
+def words_of(name: str) -> list[str]:
+    return [plain(w) for w in re.findall(r"[^\W_]+", key_of(name))]
 
 
 def slips(a: str, b: str, most: int) -> int:
@@ -88,157 +100,164 @@ def slips(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-class Reader:
-    """Reads names as forms to compare. words: upper-case words with marks whose telex keystrokes are undone."""
-
-    def __init__(self, words: list[str]):
-        phrases = [p.split() for p in BEFORE + AFTER + PER + SIDES]
-        known = {w for w in words} | {w for p in phrases for w in p}
-        plain = {fold(w) for w in known}
-        self.telex = {t: fold(w) for w in sorted(known) if (t := telex(w)) not in plain}
-        self.before = [fold("".join(p.split())) for p in BEFORE]
-        self.after = [fold("".join(p.split())) for p in AFTER]
-        self.per = {fold(p) for p in PER}
-        self.sides = {fold(s) for s in SIDES}
-        self.units = UNITS + [a + "".join(p) for a in UNITS for p in (["KG"], ["LO"], ["KG", "NGAY"])]
-        self.seen: dict[tuple[str, bool], bool] = {}
-
-    def tokens(self, word: str) -> list[str]:
-        return [self.telex.get(t, t) for t in re.findall(r"[^\W_]+", fold(word))]
-
-    def _names_nothing(self, t: str, before: bool) -> bool:
-        """Whether t, put before or after a name, is a word or dose that names nothing, give or take a slip."""
-        known = self.seen.get((t, before))
-        if known is None:
-            known = any(slips(t, p, 1) <= (len(p) > 3) for p in (self.before if before else self.after))
-            if not known and not before and (m := re.fullmatch(r"(\d+)([A-Z]{1,8})", t)):
-                known = any(slips(m[2], u, 1) <= (len(u) > 1) for u in self.units)
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[t, before] = known
-        return known
-
-    def strip(self, ts: list[str]) -> list[str]:
-        """Without the words that name nothing at either end."""
-        again = True
-        while again and len(ts) > 1:
-            again = False
-            for k in (1, 2, 3):
-                if len(ts) > k:
-                    head, tail = "".join(ts[:k]), "".join(ts[-k:])
-                    if self._names_nothing(head, True):
-                        ts, again = ts[k:], True
-                        break
-                    if self._names_nothing(tail, False) or (k == 1 and tail in self.per and any(c.isdigit() for t in ts[-4:-1] for c in t)):
-                        ts, again = ts[:-k], True
-                        break
-        return ts
-
-    def form(self, ts: list[str], stripped: bool) -> tuple[str, str, str, str]:
-        """(letters, letters without qualifiers, qualifiers, code) of tokens."""
-        code = ""
-        if stripped:
-            ts = self.strip(ts)
-            for i, j in ((0, 1), (0, 2), (len(ts) - 1, len(ts)), (len(ts) - 2, len(ts))):
-                if 0 <= i and 0 < j - i < len(ts) and _CODE.fullmatch("".join(ts[i:j])):
-                    code, ts = "".join(ts[i:j]), self.strip(ts[:i] + ts[j:])
-                    break
-        quals = [t for i, t in enumerate(ts) if _QUALIFIER.fullmatch(t) or (t in self.sides)]
-        return "".join(ts), "".join(t for t in ts if t not in quals), " ".join(sorted(quals)), code
+@lru_cache(1 << 18)
+def alike(a: str, b: str) -> float:
+    """1 less slips by length; 0 below ALIKE, and for different words of under three letters."""
+    if a == b:
+        return 1.0
+    n = max(len(a), len(b))
+    most = int(n * (1 - ALIKE) + 1e-9)
+    if n < 3 or abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+        return 0.0
+    d = slips(a, b, most)
+    return 1 - d / n if d <= most else 0.0
+
+
+def told_apart(word: str) -> bool:
+    """Whether a word distinguishes things by its shape, or is one of SIDES."""
+    return len(word) == 1 or word.isdigit() or word in _SIDES or bool(_NUMERAL.fullmatch(word) or _LETTERS_NUMBER.fullmatch(word))
+
+
+def _run_on(word: str, ending: str) -> bool:
+    """Whether ending was written on to the word before it: it isn't the end of a longer number or numeral."""
+    before = word[-len(ending) - 1 : -len(ending)]
+    if len(word) < len(ending) + 4 or not word.endswith(ending):
+        return False
+    return not (ending.isdigit() and before.isdigit()) and not (set(ending) <= set("IVX") and before in "IV")
 
-    def forms(self, name: str) -> list[tuple[str, str, str, str]]:
-        """The form of a name, then those with its first word put last and its last put first, as lists are often turned
-        round; words that name nothing may stand before or within what was turned."""
-        words = [t for w in key_of(name).split() if (t := self.tokens(w))]
-        if not words:
-            return []
-        out = []
-        for ws in (words, words[1:] + words[:1]):
-            plain = self.strip([t for w in ws for t in w])
-            out += [plain, plain[1:] + plain[:1], plain[-1:] + plain[:-1]]
-        return list(dict.fromkeys(self.form(ts, True) for ts in out))
 
+class Score:
+    """Weighted cosines of a value's words with entries. common: {word: values that hold it} of the frequent words."""
 
-_FORM = "array<struct<letters:string,core:string,quals:string,code:string>>"
+    def __init__(self, common: dict[str, int], n_values: int, specifying: set[str]):
+        self.common, self.n, self.specifying = common, max(n_values, 1), specifying
+        self.whole = math.log(1 + min(self.n, FREQUENT))
 
+    def weight(self, word: str) -> float:
+        return len(word) * min(1.0, math.log(1 + self.n / self.common.get(word, 1)) / self.whole)
 
-def _forms(col: Column | str, words: list[str]) -> Column:
-    @F.pandas_udf(_FORM)
+    def _quantities(self, words: list[str], used: list[bool]) -> set[int]:
+        """Positions of numbers with a unit and of their units, and of syllables that only look like numerals."""
+        out = set()
+        for i, w in enumerate(words):
+            after = words[i + 1] if i + 1 < len(words) and not used[i + 1] else ""
+            if used[i]:
+                continue
+            if _QUANTITY.fullmatch(w):
+                out.add(i)
+            elif w.isdigit() and after.isalpha() and len(after) <= 4 and after not in _SIDES and not (_NUMERAL.fullmatch(after)):
+                out |= {i, i + 1}
+            elif w in ("VI", "XI") and after.isalpha() and len(after) > 1:
+                out.add(i)
+        return out
+
+    def of(self, words: list[str], entry: list[str], weights: list[float], specifies: list[bool], codes: list[str], heads: list[str] = ()) -> float:
+        """0 where a distinguishing word differs. heads: the words of the value that are the rarest of some entry."""
+        used, code = [False] * len(words), 0
+        for c in codes:
+            for i in range(len(words)):
+                for k in (1, 2, 3):
+                    if i + k <= len(words) and not any(used[i : i + k]) and "".join(words[i : i + k]) == c:
+                        used[i : i + k], code = [True] * k, max(code, len(c))
+        core = [j for j, w in enumerate(entry) if not told_apart(w)] or list(range(len(entry)))
+        missing = [w for j, w in enumerate(entry) if j not in core]
+        got = [0.0] * len(entry)
+        for j in core:
+            for i, w in enumerate(words):
+                if w == entry[j] and not used[i]:
+                    used[i], got[j] = True, 1.0
+                    break
+        for q in list(missing):
+            for i, w in enumerate(words):
+                if w == q and not used[i]:
+                    used[i] = True
+                    missing.remove(q)
+                    break
+        if len(missing) == 1:
+            for i, w in enumerate(words):
+                if not used[i] and _run_on(w, missing[0]):
+                    s, j = max((alike(entry[j], w[: -len(missing[0])]), j) for j in core)
+                    if s > got[j]:
+                        used[i], got[j], missing = True, s, []
+                        break
+        self._match(words, used, entry, core, got)
+        if len(missing) == 1 and len(missing[0]) > 2 and missing[0].isalpha():
+            for i, w in enumerate(words):
+                if not used[i] and not told_apart(w) and slips(w, missing[0], 1) <= 1:
+                    used[i], missing = True, []
+                    break
+        quantities, cost = self._quantities(words, used), 0.0
+        for i, w in enumerate(words):
+            if not used[i]:
+                if i not in quantities and (told_apart(w) or w in self.specifying):
+                    return 0.0
+                if not (i in quantities and (w.isdigit() or _QUANTITY.fullmatch(w))):
+                    cost += (len(w) if w in heads else self.weight(w)) ** 2
+        cosine = 0.0
+        if not missing and all(got[j] for j in core if specifies[j]):
+            all_of = sum(weights[j] ** 2 for j in core)
+            met = sum(weights[j] ** 2 for j in core if got[j])
+            if met:
+                cosine = sum(weights[j] ** 2 * got[j] for j in core) / math.sqrt(all_of * (met + cost))
+        return max(cosine, code / math.sqrt(code**2 + cost)) if code else cosine
+
+    @staticmethod
+    def _match(words: list[str], used: list[bool], entry: list[str], core: list[int], got: list[float]) -> None:
+        """Pairs what is left of the words by likeness, best first: one with one, one with two run together."""
+        options = []
+        for at, j in enumerate(core):
+            if got[j]:
+                continue
+            run = entry[j] + entry[core[at + 1]] if at + 1 < len(core) and core[at + 1] == j + 1 and not got[j + 1] else ""
+            for i, w in enumerate(words):
+                if used[i]:
+                    continue
+                if not told_apart(w) and (s := alike(entry[j], w)):
+                    options.append((s * len(entry[j]), s, j, 1, i, 1))
+                if run and (s := alike(run, w)):
+                    options.append((s * len(run), s, j, 2, i, 1))
+                for k in (2, 3):
+                    if i + k <= len(words) and not any(used[i : i + k]) and (s := alike(entry[j], "".join(words[i : i + k]))) and (k == 2 or s == 1):
+                        options.append((s * len(entry[j]), s, j, 1, i, k))
+        for _, s, j, m, i, k in sorted(options, reverse=True):
+            if not any(got[j : j + m]) and not any(used[i : i + k]):
+                got[j : j + m], used[i : i + k] = [s] * m, [True] * k
+
+
+def _words(col: Column | str) -> Column:
+    @F.pandas_udf("array<string>")
     def read(names: pd.Series) -> pd.Series:
-        r = Reader(words)
-        return pd.Series([[dict(zip(("letters", "core", "quals", "code"), f)) for f in r.forms(n)] if n else [] for n in names], dtype=object)
+        return pd.Series([words_of(n) if n else [] for n in names], dtype=object)
 
     return read(col)
 
 
-def _plain(col: Column | str, words: list[str]) -> Column:
-    @F.pandas_udf("string")
-    def letters(names: pd.Series) -> pd.Series:
-        r = Reader(words)
-        return pd.Series(["".join(r.strip([t for w in key_of(n).split() for t in r.tokens(w)])) if n else "" for n in names], dtype=object)
-
-    return letters(col)
-
-
-def slips_between(forms, core: str, letters: str, quals: str, codes, kind: str) -> int | None:
-    """Slips between a name's best form and an entry's form, or None where they can't be the same thing."""
-    best = None
-    for f in forms:
-        if f["code"] and f["code"] not in codes:
-            continue
-        if f["letters"] == letters:
-            return 0
-        if kind == "alias":
-            continue
-        if f["quals"] == quals:
-            d = slips(f["core"], core, EDITS)
-        elif quals and not f["quals"]:
-            last = quals.split()[-1]
-            if len(last) > 2 and last.isalpha() and last not in ("III", "VIII"):
-                d = slips(f["letters"], letters, EDITS)
-            elif f["letters"].endswith(last) and not (last.isdigit() and f["letters"][-len(last) - 1].isdigit()) and not (set(last) <= set("IVX") and f["letters"][-len(last) - 1] in "IV"):
-                d = slips(f["letters"][: -len(last)], core, EDITS)
-            else:
-                continue
-        else:
-            continue
-        if d <= EDITS and len(core) >= 5 and (best is None or d < best):
-            best = d
-    return best
-
-
-def _checked(*cols: Column | str) -> Column:
-    @F.pandas_udf("int")
-    def check(forms: pd.Series, core: pd.Series, letters: pd.Series, quals: pd.Series, codes: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([slips_between(*x) for x in zip(forms, core, letters, quals, codes, kind)], dtype="Int32")
-
-    return check(*cols)
-
-
-def entries(canonical: DataFrame, words: list[str]) -> DataFrame:
-    """(ref_id, form_id, kind, letters, core, quals, codes): forms of the entries: name, abbreviated names, aliases."""
-    shared = canonical.select("ref_id", F.explode(F.array_distinct(F.split("canonical_name", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 2")
-    own = canonical.select("ref_id", "canonical_name", "aliases", F.posexplode(F.split("canonical_name", " ")).alias("pos", "w")).join(shared, "w", "left")
-    leading = own.groupBy("ref_id", "canonical_name", "aliases").agg(F.coalesce(F.min(F.when(F.col("n").isNull(), F.col("pos"))), F.lit(0)).alias("lead"))
-
-    @F.pandas_udf("array<struct<kind:string,letters:string,core:string,quals:string>>")
-    def variants(names: pd.Series, aliases: pd.Series, lead: pd.Series) -> pd.Series:
-        r, out = Reader(words), []
-        for name, als, k in zip(names, aliases, lead):
-            ws = key_of(name).split()
-            shapes = {("name", *r.form([t for w in ws for t in r.tokens(w)], False)[:3])}
-            for j in range(2, k + 1):
-                short = ["".join(fold(w)[0] for w in ws[:j])] + [t for w in ws[j:] for t in r.tokens(w)]
-                shapes.add(("short", *r.form(short, False)[:3]))
-            for a in als if als is not None else []:
-                if a and (ts := [t for w in key_of(a).split() for t in r.tokens(w)]):
-                    shapes.add(("alias", "".join(ts), "".join(ts), ""))
-            out.append([dict(zip(("kind", "letters", "core", "quals"), s)) for s in sorted(shapes)])
-        return pd.Series(out, dtype=object)
-
-    codes = F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull()), lambda a: F.regexp_replace(F.upper(a), "[^0-9A-Z]", ""))
-    forms = leading.select("ref_id", codes.alias("codes"), F.explode(variants("canonical_name", "aliases", "lead")).alias("f"))
-    return forms.select("ref_id", "codes", "f.*").withColumn("form_id", F.xxhash64("ref_id", "kind", "letters"))
+def entries(canonical: DataFrame) -> DataFrame:
+    """(form_id, ref_id, words, weights, specifies, codes, head): each name of an entry in words: its own and its aliases of
+    letters alone; codes are the aliases with digits, which are found as they are or not at all; head is the rarest word."""
+    rows = canonical.where("canonical_name is not null").dropDuplicates(["ref_id"])
+    aliases = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull())
+    own = rows.select("ref_id", _words("canonical_name").alias("words"), F.posexplode(F.concat(F.array("canonical_name"), aliases)).alias("at", "other"))
+    read = own.select("ref_id", "words", "at", _words("other").alias("other"), F.array_join(_words("other"), "").alias("code"))
+    is_code = (F.col("at") > 0) & F.col("code").rlike("[0-9]")
+    one = read.groupBy("words").agg(
+        F.min("ref_id").alias("ref_id"), F.collect_set(F.when(is_code & (F.col("code") != ""), F.col("code"))).alias("codes"), F.collect_set(F.when(~is_code & (F.size("other") > 0), F.col("other"))).alias("names")
+    )
+    one = one.where(F.size("words") > 0).select("ref_id", "codes", F.explode("names").alias("words"))
+    forms = materialize(one.withColumn("form_id", F.xxhash64("ref_id", "words")), "p1 forms")
+    n = max(forms.count(), 1)
+    parts = forms.select("form_id", F.posexplode("words").alias("pos", "word"))
+    idf = F.log(F.lit(2.0 * n) / F.col("df")) / math.log(2.0 * n)
+    df = parts.groupBy("word").agg(F.count_distinct("form_id").alias("df"))
+    weighed = parts.join(df, "word").withColumn("weight", F.length("word") * idf * idf)
+    rarest = weighed.groupBy("form_id").agg(F.max(F.struct("weight", "pos")).alias("top")).select("form_id", F.col("top.pos").alias("rarest"))
+    weighed = materialize(weighed.join(rarest, "form_id"), "p1 weighed")
+    behind = weighed.groupBy("word").agg((F.min((F.col("pos") > F.col("rarest")).cast("int")) == 1).alias("behind"))
+    placed = weighed.join(behind, "word").select("form_id", F.struct("pos", "word", "weight", (F.col("behind") & (F.col("df") > 1)).alias("specifies")).alias("w"))
+    ordered = placed.groupBy("form_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    parallel = [F.col(f"w.{c}").alias(a) for c, a in (("word", "words"), ("weight", "weights"), ("specifies", "specifies"))]
+    ordered = ordered.join(forms.select("form_id", "ref_id", "codes"), "form_id").select("form_id", "ref_id", *parallel, "codes")
+    return materialize(ordered.withColumn("head", F.get("words", F.array_position("weights", F.array_max("weights")).cast("int") - 1)), "p1 entries")
 
 
 def _grams(letters: Column) -> Column:
@@ -246,58 +265,76 @@ def _grams(letters: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
 
 
-def _rarest(grams: DataFrame, owner: str) -> DataFrame:
-    """The rows (owner, gram, w) that remain without the commonest trigrams that together have less than CUT of the norm.
-
-    Two vectors that share none of what remains of both have a cosine below CUT: by order of weight, what they share is
-    cut from one of them. Adds norm2, the square of the whole norm."""
-    per = Window.partitionBy(owner)
-    below = F.sum(F.col("w") ** 2).over(per.orderBy("w", "gram").rowsBetween(Window.unboundedPreceding, 0))
-    summed = grams.withColumn("below", below).withColumn("norm2", F.sum(F.col("w") ** 2).over(per))
-    return summed.where(F.col("below") >= CUT**2 * F.col("norm2")).drop("below")
-
-
-def candidates(names: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(name, ref_id, cosine, slips) of every candidate that passes the threshold and the exact check."""
-    spark = names.sparkSession
-    # The words whose keystrokes may be undone are those of the canonical list: it is small, its words are fewer.
-    words = [r[0] for r in canonical.select(F.explode(F.split(F.upper("canonical_name"), " ")).alias("w")).distinct().where("w rlike '[^ -~]'").collect()]
-    forms = materialize(entries(canonical.where("canonical_name is not null").dropDuplicates(["ref_id"]), words), "p1 forms")
-    posted = forms.select("form_id", F.explode(_grams(F.col("letters"))).alias("gram"))
-    n = max(forms.count(), 1)
-    weights = materialize(posted.groupBy("gram").agg(F.pow(F.log(F.lit(2.0 * n) / F.count("*")), 3).alias("w")), "p1 weights")
-    unknown = math.log(2.0 * n) ** 3
-    posted = posted.join(weights, "gram")
-    index = materialize(_rarest(posted, "form_id").withColumnRenamed("norm2", "r2"), "p1 index")
-    vectors = posted.groupBy("form_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", F.col("w") ** 2))).alias("r"))
-    entry = materialize(forms.join(vectors, "form_id"), "p1 entries")
-    small = small_enough(index, 128) and small_enough(entry, 2048)
-    near = F.broadcast if small else (lambda d: d)
-
-    read = names.where("trim(name) <> ''").distinct().repartition(lanes(spark), "name").select("name", _plain("name", words).alias("letters"))
-    read = materialize(read.where("letters <> ''").select(F.monotonically_increasing_id().alias("nid"), "name", _grams(F.col("letters")).alias("grams")), "p1 names")
-    read = read.repartition(lanes(spark), "nid")
-    weighed = read.select("nid", F.explode("grams").alias("gram")).join(near(weights), "gram", "left").withColumn("w", F.coalesce("w", F.lit(unknown)))
-    shared = _rarest(weighed, "nid").select("nid", "gram", F.col("norm2").alias("q2")).join(near(index), "gram")
-    pairs = shared.groupBy("nid", "form_id").agg(F.sum(F.col("w") ** 2).alias("part"), F.max("q2").alias("q2"), F.max("r2").alias("r2"))
-    # What the index leaves out adds less than CUT to a cosine.
-    pairs = pairs.where(F.col("part") >= (THRESHOLD - CUT) * F.sqrt(F.col("q2") * F.col("r2")))
-    dot = F.aggregate(F.array_intersect("grams", "r_grams"), F.lit(0.0), lambda a, g: a + F.col("r")[g])
-    scored = pairs.join(read, "nid").join(near(entry.select("form_id", "r", F.map_keys("r").alias("r_grams"))), "form_id").withColumn("cosine", dot / F.sqrt(F.col("q2") * F.col("r2"))).where(F.col("cosine") >= THRESHOLD)
-    scored = materialize(scored.select("name", "form_id", "cosine"), "p1 scored")
-    # Only names with a candidate are read in all their forms.
-    forms_of = scored.select("name").distinct().withColumn("forms", _forms("name", words))
-    checked = scored.join(forms_of, "name").join(near(entry.drop("r")), "form_id").withColumn("slips", _checked("forms", "core", "letters", "quals", "codes", "kind"))
-    return checked.where("slips is not null").select("name", "ref_id", "cosine", "slips")
+def retrieved(values: DataFrame, entry: DataFrame) -> DataFrame:
+    """(vid, form_id) of the entries whose trigram cosine with a value reaches RETRIEVED. values: (vid, words)."""
+    named = entry.select("form_id", F.explode(F.array_distinct(F.concat(F.array(F.array_join("words", "")), "codes"))).alias("letters"))
+    posted = named.select("form_id", F.xxhash64("form_id", "letters").alias("vector"), F.explode(_grams(F.col("letters"))).alias("gram"))
+    n = max(named.count(), 1)
+    weights = materialize(posted.groupBy("gram").agg(F.pow(F.log(F.lit(2.0 * n) / F.count("*")), 6).alias("w2")), "p1 weights")
+    per = Window.partitionBy("vector")
+    below = F.sum("w2").over(per.orderBy("w2", "gram").rowsBetween(Window.unboundedPreceding, 0))
+    index = posted.join(weights, "gram").withColumn("below", below).withColumn("r2", F.sum("w2").over(per)).where(F.col("below") >= CUT**2 * F.col("r2"))
+    index = materialize(index.select("gram", "form_id", "vector", "w2", "r2"), "p1 index")
+    near = F.broadcast if small_enough(index, 128) else (lambda d: d)
+    spread = values.select("vid", F.explode(_grams(F.array_join("words", ""))).alias("gram"))
+    norms = spread.join(near(weights), "gram").groupBy("vid").agg(F.sum("w2").alias("q2"))
+    part = spread.join(near(index), "gram").groupBy("vid", "form_id", "vector").agg(F.sum("w2").alias("part"), F.first("r2").alias("r2"))
+    return part.join(norms, "vid").where(F.col("part") >= RETRIEVED * F.sqrt(F.col("q2") * F.col("r2"))).select("vid", "form_id").distinct()
+
+
+def frequent_words(values: DataFrame, n: int) -> dict[str, int]:
+    """{word: values that hold it}, of the words that one in FREQUENT values or more holds; bounded, as FREQUENT says."""
+    counts = values.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return {r[0]: r[1] for r in counts.where(F.col("n") > max(1.0, n / FREQUENT)).collect()}
+
+
+def specifying_words(entry: DataFrame) -> set[str]:
+    """The words that specify in several entries, at least one in FREQUENT of them; bounded, as FREQUENT says."""
+    n = entry.count()
+    counts = entry.select(F.explode(F.arrays_zip("words", "specifies")).alias("w")).where("w.specifies").groupBy(F.col("w.words").alias("word")).agg(F.count("*").alias("n"))
+    return {r[0] for r in counts.where(F.col("n") >= n / FREQUENT).collect()}
+
+
+def distinct_values(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, vid) of the different names with words, and (vid, words) of the different lists of words, both written."""
+    read = names.where("trim(name) <> ''").distinct().repartition(lanes(names.sparkSession), "name").select("name", _words("name").alias("words"))
+    read = materialize(read.where(F.size("words") > 0).select("name", "words", F.xxhash64("words").alias("h")), "p1 names")
+    values = materialize(read.select("h", "words").distinct().withColumn("vid", F.monotonically_increasing_id()), "p1 values")
+    return read.join(values, ["h", "words"]).select("name", "vid"), values.select("vid", "words")
+
+
+def scored(values: DataFrame, entry: DataFrame) -> DataFrame:
+    """(vid, ref_id, score) of every candidate that reaches THRESHOLD. values: (vid, words)."""
+    n = values.count()
+    common, specifying = frequent_words(values, n), specifying_words(entry)
+    sent = values.sparkSession.sparkContext.broadcast((common, n, specifying))
+    near = F.broadcast if small_enough(entry, 2048) else (lambda d: d)
+
+    @F.pandas_udf("double")
+    def score(words: pd.Series, own: pd.Series, weights: pd.Series, specifies: pd.Series, codes: pd.Series, heads: pd.Series) -> pd.Series:
+        s = Score(*sent.value)
+        return pd.Series([s.of(*map(list, x)) for x in zip(words, own, weights, specifies, codes, heads)], dtype="float64")
+
+    pairs = materialize(retrieved(values, entry).join(values, "vid"), "p1 pairs")
+    heads = entry.select(F.col("head").alias("word")).distinct()
+    held = pairs.select("vid", F.explode("words").alias("word")).distinct().join(F.broadcast(heads) if small_enough(heads, 128) else heads, "word")
+    pairs = pairs.join(held.groupBy("vid").agg(F.collect_set("word").alias("heads")), "vid", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
+    # "words" is a column of both sides; the entry's is renamed.
+    rows = pairs.repartition(lanes(values.sparkSession)).join(near(entry.drop("head").withColumnRenamed("words", "own")), "form_id")
+    met = rows.select("vid", "ref_id", score("words", "own", "weights", "specifies", "codes", "heads").alias("score")).where(F.col("score") >= THRESHOLD)
+    return met.groupBy("vid", "ref_id").agg(F.max("score").alias("score"))
 
 
 def link(values: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(name, ref_id, cosine, slips): the entry of every value of the column ``name`` that has one."""
-    per_entry = candidates(values.select("name"), canonical).groupBy("name", "ref_id").agg(F.min(F.struct("slips", (-F.col("cosine")).alias("minus"))).alias("best"))
-    best = per_entry.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("best", "ref_id"))).alias("all"))
-    one, two = F.col("all")[0], F.try_element_at("all", F.lit(2))
-    clear = two.isNull() | (two["best"]["slips"] > one["best"]["slips"]) | (two["best"]["minus"] - one["best"]["minus"] >= MARGIN) | (one["best"]["slips"] == 0)
-    return best.where(clear).select("name", one["ref_id"].alias("ref_id"), (-one["best"]["minus"]).alias("cosine"), one["best"]["slips"].alias("slips"))
+    """(name, ref_id, score): the entry of every value of the column ``name`` that has one."""
+    names, distinct = distinct_values(values.select("name"))
+    entry = entries(canonical)
+    order = Window.partitionBy("vid").orderBy(F.desc("score"), "ref_id")
+    best = scored(distinct, entry).withColumn("k", F.row_number().over(order)).where("k <= 2")
+    two = best.groupBy("vid").agg(F.max(F.when(F.col("k") == 1, F.struct("ref_id", "score"))).alias("best"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("next"))
+    whole = (F.col("best.score") > 1 - 1e-9) & (F.col("next") <= 1 - 1e-9)
+    clear = two.where(F.col("next").isNull() | whole | (F.col("best.score") - F.col("next") >= MARGIN))
+    return names.join(clear, "vid").select("name", F.col("best.ref_id").alias("ref_id"), F.col("best.score").alias("score"))
 
 
 def linked_records(records: DataFrame, canonical: DataFrame, name: str = "entity_name", id_column: str = "id") -> DataFrame:
