@@ -15,7 +15,7 @@ that of every other entry by MARGIN unless it alone is 1. An exact check goes wi
 Those are numbers, numerals, single letters and letters with numbers by their shape (a number with its unit is a
 quantity and distinguishes nothing), words of SIDES, and the words that specify in the list itself: those that stand
 only behind the rarest word of several entries. THRESHOLD lies between the scores of names two slips away from a word of
-seven letters (0.71) and those of names that share only what many entries have.
+seven letters (0.71) and those of names that share only what many entries have (below 0.6).
 
 Defined results: null and blank values, and those without a letter or digit, are unmatched and give no row in ``link``;
 several records of one value get the same entry; entries of the same words are one, with the smallest id and the aliases
@@ -100,6 +100,12 @@ def slips(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+@lru_cache(1 << 17)
+def told_apart(word: str) -> bool:
+    """Whether a word distinguishes things by its shape, or is one of SIDES."""
+    return len(word) == 1 or word.isdigit() or word in _SIDES or bool(_NUMERAL.fullmatch(word) or _LETTERS_NUMBER.fullmatch(word))
+
+
 @lru_cache(1 << 18)
 def alike(a: str, b: str) -> float:
     """1 less slips by length; 0 below ALIKE, and for different words of under three letters."""
@@ -107,17 +113,19 @@ def alike(a: str, b: str) -> float:
         return 1.0
     n = max(len(a), len(b))
     most = int(n * (1 - ALIKE) + 1e-9)
-    if n < 3 or abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+    if n < 3 or abs(len(a) - len(b)) > most:
+        return 0.0
+    # A slip takes at most one letter away and brings one.
+    left = list(b)
+    for c in a:
+        if c in left:
+            left.remove(c)
+    if len(left) > most or len(a) - len(b) + len(left) > most:
         return 0.0
     d = slips(a, b, most)
     return 1 - d / n if d <= most else 0.0
 
 
-def told_apart(word: str) -> bool:
-    """Whether a word distinguishes things by its shape, or is one of SIDES."""
-    return len(word) == 1 or word.isdigit() or word in _SIDES or bool(_NUMERAL.fullmatch(word) or _LETTERS_NUMBER.fullmatch(word))
-
-
 def _run_on(word: str, ending: str) -> bool:
     """Whether ending was written on to the word before it: it isn't the end of a longer number or numeral."""
     before = word[-len(ending) - 1 : -len(ending)]
@@ -180,7 +188,14 @@ class Score:
                     if s > got[j]:
                         used[i], got[j], missing = True, s, []
                         break
-        self._match(words, used, entry, core, got)
+        top = max(core, key=lambda j: weights[j])
+        if not got[top] and not code and weights[top] ** 2 > (1 - THRESHOLD**2) * sum(weights[j] ** 2 for j in core):
+            # Without its weightiest word the entry can't reach the threshold.
+            if not self._options(words, used, entry, [j for j in core if abs(j - top) < 2], got, top):
+                return 0.0
+        for _, s, j, m, i, k in sorted(self._options(words, used, entry, core, got), reverse=True):
+            if not any(got[j : j + m]) and not any(used[i : i + k]):
+                got[j : j + m], used[i : i + k] = [s] * m, [True] * k
         if len(missing) == 1 and len(missing[0]) > 2 and missing[0].isalpha():
             for i, w in enumerate(words):
                 if not used[i] and not told_apart(w) and slips(w, missing[0], 1) <= 1:
@@ -202,26 +217,29 @@ class Score:
         return max(cosine, code / math.sqrt(code**2 + cost)) if code else cosine
 
     @staticmethod
-    def _match(words: list[str], used: list[bool], entry: list[str], core: list[int], got: list[float]) -> None:
-        """Pairs what is left of the words by likeness, best first: one with one, one with two run together."""
-        options = []
+    def _options(words: list[str], used: list[bool], entry: list[str], core: list[int], got: list[float], only: int | None = None) -> list[tuple]:
+        """How what is left of the words may be paired, with likeness: one with one, one with two run together. only: of
+        the entry's words, the one that must take part."""
+        out = []
         for at, j in enumerate(core):
             if got[j]:
                 continue
-            run = entry[j] + entry[core[at + 1]] if at + 1 < len(core) and core[at + 1] == j + 1 and not got[j + 1] else ""
+            after = core[at + 1] if at + 1 < len(core) else -1
+            run = entry[j] + entry[after] if after == j + 1 and not got[after] and only in (None, j, after) else ""
+            alone = only is None or only == j
             for i, w in enumerate(words):
                 if used[i]:
                     continue
-                if not told_apart(w) and (s := alike(entry[j], w)):
-                    options.append((s * len(entry[j]), s, j, 1, i, 1))
+                if alone and not told_apart(w) and (s := alike(entry[j], w)):
+                    out.append((s * len(entry[j]), s, j, 1, i, 1))
                 if run and (s := alike(run, w)):
-                    options.append((s * len(run), s, j, 2, i, 1))
-                for k in (2, 3):
-                    if i + k <= len(words) and not any(used[i : i + k]) and (s := alike(entry[j], "".join(words[i : i + k]))) and (k == 2 or s == 1):
-                        options.append((s * len(entry[j]), s, j, 1, i, k))
-        for _, s, j, m, i, k in sorted(options, reverse=True):
-            if not any(got[j : j + m]) and not any(used[i : i + k]):
-                got[j : j + m], used[i : i + k] = [s] * m, [True] * k
+                    out.append((s * len(run), s, j, 2, i, 1))
+                if alone and i + 1 < len(words) and not used[i + 1]:
+                    if s := alike(entry[j], w + words[i + 1]):
+                        out.append((s * len(entry[j]), s, j, 1, i, 2))
+                    if i + 2 < len(words) and not used[i + 2] and w + words[i + 1] + words[i + 2] == entry[j]:
+                        out.append((len(entry[j]), 1.0, j, 1, i, 3))
+        return out
 
 
 def _words(col: Column | str) -> Column:
@@ -276,7 +294,8 @@ def retrieved(values: DataFrame, entry: DataFrame) -> DataFrame:
     index = posted.join(weights, "gram").withColumn("below", below).withColumn("r2", F.sum("w2").over(per)).where(F.col("below") >= CUT**2 * F.col("r2"))
     index = materialize(index.select("gram", "form_id", "vector", "w2", "r2"), "p1 index")
     near = F.broadcast if small_enough(index, 128) else (lambda d: d)
-    spread = values.select("vid", F.explode(_grams(F.array_join("words", ""))).alias("gram"))
+    # Spread by value first, so that neither sum moves the exploded trigrams.
+    spread = values.repartition(lanes(values.sparkSession), "vid").select("vid", F.explode(_grams(F.array_join("words", ""))).alias("gram"))
     norms = spread.join(near(weights), "gram").groupBy("vid").agg(F.sum("w2").alias("q2"))
     part = spread.join(near(index), "gram").groupBy("vid", "form_id", "vector").agg(F.sum("w2").alias("part"), F.first("r2").alias("r2"))
     return part.join(norms, "vid").where(F.col("part") >= RETRIEVED * F.sqrt(F.col("q2") * F.col("r2"))).select("vid", "form_id").distinct()
