@@ -279,8 +279,9 @@ def entries(canonical: DataFrame) -> DataFrame:
 
 
 def _grams(letters: Column) -> Column:
+    """The different trigrams of a word between its bounds, as 64-bit hashes, by which joins are quicker."""
     padded = F.concat(F.lit("^"), letters, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.xxhash64(F.substring(padded, i, 3))))
 
 
 def retrieved(values: DataFrame, entry: DataFrame) -> DataFrame:
@@ -292,13 +293,15 @@ def retrieved(values: DataFrame, entry: DataFrame) -> DataFrame:
     per = Window.partitionBy("vector")
     below = F.sum("w2").over(per.orderBy("w2", "gram").rowsBetween(Window.unboundedPreceding, 0))
     index = posted.join(weights, "gram").withColumn("below", below).withColumn("r2", F.sum("w2").over(per)).where(F.col("below") >= CUT**2 * F.col("r2"))
-    index = materialize(index.select("gram", "form_id", "vector", "w2", "r2"), "p1 index")
+    # By unit vectors of the entries, so that one number is summed for each pair.
+    index = materialize(index.select("gram", "form_id", "vector", (F.col("w2") / F.sqrt("r2")).cast("float").alias("w")), "p1 index")
     near = F.broadcast if small_enough(index, 128) else (lambda d: d)
     # Spread by value first, so that neither sum moves the exploded trigrams.
     spread = values.repartition(lanes(values.sparkSession), "vid").select("vid", F.explode(_grams(F.array_join("words", ""))).alias("gram"))
     norms = spread.join(near(weights), "gram").groupBy("vid").agg(F.sum("w2").alias("q2"))
-    part = spread.join(near(index), "gram").groupBy("vid", "form_id", "vector").agg(F.sum("w2").alias("part"), F.first("r2").alias("r2"))
-    return part.join(norms, "vid").where(F.col("part") >= RETRIEVED * F.sqrt(F.col("q2") * F.col("r2"))).select("vid", "form_id").distinct()
+    part = spread.join(near(index.drop("form_id")), "gram").groupBy("vid", "vector").agg(F.sum("w").alias("part"))
+    met = part.join(norms, "vid").where(F.col("part") >= RETRIEVED * F.sqrt("q2")).select("vid", "vector")
+    return met.join(near(index.select("vector", "form_id").distinct()), "vector").select("vid", "form_id").distinct()
 
 
 def frequent_words(values: DataFrame, n: int) -> dict[str, int]:
