@@ -31,8 +31,6 @@ from kgweave.session import materialize
 
 #: Records of one group, about, and groups that meet in one node of the tree.
 GROUP, FAN = 20_000, 64
-#: A record is large if it holds more than 1/LARGE of what all smaller ones of its group hold.
-LARGE = 200
 EPS = 1e-9
 
 
@@ -78,42 +76,23 @@ def _random(ids: np.ndarray, seed: int) -> np.ndarray:
 def pivotal(ids: np.ndarray, p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """p with all but at most one entry 0 or 1, and the same sum of p * size.
 
-    From the largest record to the smallest, each meets the one still open, so that a small one is left in the end.
-    Records that are large beside all smaller ones together meet those as one, each of which gives or takes in
-    proportion to p (1 - p) size, so that every expectation is kept.
+    Records that are open, by size, meet in pairs, all pairs of a level at once; each leaves at most one open for the
+    next level. Every move keeps the pair's size and both expectations.
     """
-    chance, p, order = _random(ids, seed), np.round(p, 12), np.lexsort((ids, -size))
-    rest_size = np.cumsum(size[order][::-1])[::-1]
-    for at, k in enumerate(order[:-1]):
-        if size[k] * LARGE < rest_size[at + 1]:
-            break
-        rest = order[at + 1 :]
-        room = p[rest] * (1 - p[rest]) * size[rest]
-        if not EPS < p[k] < 1 - EPS or room.sum() <= EPS:
-            continue
-        some = room > 0
-        up = min((1 - p[k]) * size[k], room.sum() / (1 - p[rest][some]).max())
-        down = min(p[k] * size[k], room.sum() / p[rest][some].max())
-        move = up if chance[k] * (up + down) < down else -down
-        p[k] += move / size[k]
-        p[rest] = np.clip(p[rest] - move * room / room.sum() / size[rest], 0.0, 1.0)
-    out, current = p.tolist(), -1
-    for k in order.tolist():
-        if not EPS < out[k] < 1 - EPS:
-            out[k] = round(out[k])
-        elif current < 0:
-            current = k
-        else:
-            pi, si, pj, sj = out[current], size[current], out[k], size[k]
-            up, down = min((1 - pi) * si, pj * sj), min(pi * si, (1 - pj) * sj)
-            move = up if chance[k] * (up + down) < down else -down
-            left = -1
-            for i, x in ((current, pi + move / si), (k, pj - move / sj)):
-                is_open = EPS < x < 1 - EPS
-                out[i] = x if is_open else float(round(x))
-                left = i if is_open else left
-            current = left
-    return np.array(out)
+    p = np.round(p, 12)
+    p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
+    left, level = np.lexsort((ids, -size)), 0
+    left = left[(p[left] > 0) & (p[left] < 1)]
+    while len(left) > 1:
+        i, j = left[:-1:2], left[1::2]
+        si, sj = size[i], size[j]
+        up, down = np.minimum((1 - p[i]) * si, p[j] * sj), np.minimum(p[i] * si, (1 - p[j]) * sj)
+        move = np.where(_random(ids[i], seed + 1000 * level) * (up + down) < down, up, -down)
+        p[i], p[j] = p[i] + move / si, p[j] - move / sj
+        met = left[: 2 * len(j)]
+        p[met] = np.where(p[met] < EPS, 0.0, np.where(p[met] > 1 - EPS, 1.0, p[met]))
+        left, level = left[(p[left] > 0) & (p[left] < 1)], level + 1
+    return p
 
 
 _SCHEMA = "doc_id bigint, source string, size int, whole int, p double, lane bigint"

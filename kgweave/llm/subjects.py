@@ -3,15 +3,19 @@
 A document is the mean of the vectors of its words, their character 3- and 4-grams, and its pairs of words, hashed to
 BUCKETS rows; each subject has its own logistic output, so a document may have several subjects or none. Training is
 synchronous: in every step each partition computes the gradient of its documents of that step's batch under broadcast
-parameters, the gradients are added and Adam moves the parameters. Every eighth labelled document is held out to choose
-the threshold. Parameters and gradients have a fixed size (BUCKETS x DIM floats, 4 MB), whatever the corpus.
+parameters, the partitions' gradients are summed on the executors, block of rows by block of rows, and Adam moves the
+parameters by the one sum. Of the labelled documents an eighth is held out to choose the threshold, and another, which
+nothing is fitted to, to measure the result (``quality``). Parameters and gradients have a fixed size (BUCKETS x DIM
+floats, 1 MB), whatever the corpus.
 
 Training takes at most MAX_LABELLED labelled documents (of more, those with the smallest hash of their id); every
-document is scored.
+document is scored. To score, the vectors are multiplied with the outputs once, and a word's features are added up once,
+so that a document is a sum of rows of its words and pairs.
 
 Defined results: null, empty and wordless texts have no subject; without labels nothing has one; labels of documents
 that don't exist, null labels and repeated labels don't count; texts are read whole, whatever their length; repeated
-rows give one result; empty tables give empty ones; other columns are ignored, whatever their names.
+rows give one result; empty tables give empty ones; other columns are ignored, whatever their names. If no document is
+held out, the threshold is where both outcomes are as likely.
 """
 
 from __future__ import annotations
@@ -29,47 +33,65 @@ from pyspark.sql import functions as F
 from kgweave.functions.names import LOOK_ALIKES
 from kgweave.session import materialize
 
-BUCKETS, DIM, STEPS, BATCH, RATE, MAX_LABELLED = 1 << 16, 16, 80, 2500, 0.12, 20_000
+BUCKETS, DIM, STEPS, BATCH, RATE, MAX_LABELLED = 1 << 14, 16, 60, 1200, 0.15, 20_000
 #: Documents are scored in blocks of at most so many characters, so that a block's features fit in memory.
 BLOCK_CHARS = 400_000
-
-_WORD = re.compile(r"[^\W\d_]+")
-_PLAIN = str.maketrans({**LOOK_ALIKES, "đ": "d", "Đ": "D", "­": None, "​": None, "‌": None, "‍": None, "⁠": None, "﻿": None, "͏": None})
-_MARKS = dict.fromkeys([*range(0x300, 0x370)])
-
-
-class Features:
-    """Hashed features of texts; remembers those of words and pairs."""
-
-    def __init__(self):
-        self.words: dict[str, np.ndarray] = {}
-        self.pairs: dict[tuple[str, str], int] = {}
-
-    def _word(self, w: str) -> np.ndarray:
-        f = self.words.get(w)
-        if f is None:
-            if len(self.words) > 100_000:
-                self.words.clear()
+#: Blocks of rows by which gradients are summed.
+PARTS = 8
+#: Different words that a worker remembers.
+REMEMBERED = 200_000
+
+_ON = "\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff"
+_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_ON}])*")
+_PLAIN = str.maketrans({**LOOK_ALIKES, "đ": "d", "Đ": "D", **dict.fromkeys(["\u00ad", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"])})
+_MARKS = dict.fromkeys(range(0x300, 0x370))
+
+
+class Words:
+    """Numbers the different words of texts, and holds the hash and the hashed features of each."""
+
+    def __init__(self, n_buckets: int = BUCKETS):
+        self.n_buckets = n_buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.features: list[list[int]] = []
+
+    def _new(self, raw: str) -> int:
+        w = unicodedata.normalize("NFKD", raw).translate(_MARKS).translate(_PLAIN).lower()
+        k = self.number.get(f" {w}")
+        if k is None:
+            k = self.number[f" {w}"] = len(self.hashes)
             s = f"<{w}>"
-            f = self.words[w] = np.array([zlib.crc32(x.encode()) % BUCKETS for x in (w, *(s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)))], np.int32)
-        return f
-
-    def _pair(self, a: str, b: str) -> int:
-        f = self.pairs.get((a, b))
-        if f is None:
-            if len(self.pairs) > 300_000:
-                self.pairs.clear()
-            f = self.pairs[a, b] = zlib.crc32(f"{a} {b}".encode()) % BUCKETS
-        return f
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The different features of a text and their shares."""
-        words = _WORD.findall(unicodedata.normalize("NFKD", text).translate(_MARKS).translate(_PLAIN).lower()) if text else []
-        if not words:
-            return np.empty(0, np.int32), np.empty(0, np.float32)
-        every = np.concatenate([*map(self._word, words), np.fromiter((self._pair(a, b) for a, b in zip(words, words[1:])), np.int32, len(words) - 1)])
-        ids, n = np.unique(every, return_counts=True)
-        return ids.astype(np.int32), (n / len(every)).astype(np.float32)
+            self.hashes.append(zlib.crc32(w.encode()))
+            self.features.append([zlib.crc32(x.encode()) % self.n_buckets for x in (w, *(s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)))])
+        self.number[raw] = k
+        return k
+
+    def of(self, text: str | None) -> list[int]:
+        get, out = self.number.get, []
+        for raw in _WORD.findall(text or ""):
+            k = get(raw)
+            out.append(self._new(raw) if k is None else k)
+        return out
+
+    def pairs(self, words: np.ndarray) -> np.ndarray:
+        """The features of neighbouring words; one less than there are words."""
+        h = np.array(self.hashes, np.uint64)[words]
+        mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((mixed >> np.uint64(40)) % np.uint64(self.n_buckets)).astype(np.int64)
+
+
+def features_of(words: Words, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of a text and their shares."""
+    at = words.of(text)
+    if not at:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    every = np.concatenate([*(words.features[k] for k in at), words.pairs(np.array(at))])
+    ids, n = np.unique(every, return_counts=True)
+    return ids.astype(np.int32), (n / len(every)).astype(np.float32)
 
 
 def _means(ids: list[np.ndarray], shares: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
@@ -84,23 +106,24 @@ def _parameters(n: int, seed: int) -> list[np.ndarray]:
 
 
 def labelled_features(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """(doc_id, ids, shares, y, batch): features and labels of the training documents; batch -1 is held out."""
+    """(doc_id, ids, shares, y, batch): features and labels of the training documents. Batch -1 is held out for the
+    threshold, -2 to measure."""
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     known = materialize(known.orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED), "p8 labels")
-    n_batches = max(1, known.count() * 7 // 8 // BATCH)
+    n_batches = max(1, known.count() * 6 // 8 // BATCH)
     texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features()
+        words = Words()
         for g in batches:
-            f = [features.of(t) for t in g["text"]]
+            f = [features_of(words, t) for t in g["text"]]
             y = [[float(s in have) for s in subjects] for have in g["subjects"]]
             out = pd.DataFrame({"doc_id": g["doc_id"], "ids": [x[0] for x in f], "shares": [x[1] for x in f], "y": y})
             yield out[[len(x[0]) > 0 for x in f]]
 
     rows = texts.mapInPandas(read, "doc_id bigint, ids array<int>, shares array<float>, y array<float>")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8 * n_batches))
-    return materialize(rows.withColumn("batch", F.when(draw % 8 == 0, F.lit(-1)).otherwise(F.floor(draw / 8)).cast("int")), "p8 features")
+    return materialize(rows.withColumn("batch", F.when(draw % 8 == 0, F.lit(-1)).when(draw % 8 == 1, F.lit(-2)).otherwise(F.floor(draw / 8)).cast("int")), "p8 features")
 
 
 def _blocks(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[pd.DataFrame]:
@@ -109,13 +132,23 @@ def _blocks(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[pd.Dat
             yield g.iloc[i : i + most]
 
 
+def _summed(parts: DataFrame) -> list:
+    """(part, n, values) summed over the partitions, on the executors; one row of each part comes to the driver."""
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(v, np.float32) for v in g["values"]], axis=0, dtype=np.float64).astype(np.float32)
+        return pd.DataFrame({"part": g["part"].iloc[:1], "n": [g["n"].sum()], "values": [total.tobytes()]})
+
+    return parts.groupBy("part").applyInPandas(add, "part int, n bigint, values binary").collect()
+
+
 def train(features: DataFrame, n_subjects: int, steps: int = STEPS, seed: int = 42) -> list[np.ndarray]:
     """Vectors, weights and biases after ``steps`` synchronised steps."""
     spark = features.sparkSession
     params = _parameters(n_subjects, seed)
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    n_batches = 1 + (features.agg(F.max("batch")).first()[0] or 0)
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, 16))
+    n_batches = 1 + max(0, features.agg(F.max("batch")).first()[0] or 0)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, 16, BATCH // 200))
     # A batch is a few files of its own, so that a step reads no other.
     by_batch = [materialize(features.where(F.col("batch") == k).repartition(tasks, "doc_id"), "p8 batch") for k in range(n_batches)]
     for step in range(1, steps + 1):
@@ -134,76 +167,106 @@ def train(features: DataFrame, n_subjects: int, steps: int = STEPS, seed: int =
                 for k in range(down.shape[1]):
                     gv[:, k] += np.bincount(flat, down[:, k], len(gv))
             if n:
-                at = np.flatnonzero(gv.any(1)).astype(np.int32)
-                yield pd.DataFrame({"n": [n], "at": [at.tobytes()], "gv": [gv[at].astype(np.float32).tobytes()], "gw": [gw.astype(np.float32).tobytes()], "gb": [gb.astype(np.float32).tobytes()]})
-
-        total, n = [np.zeros_like(x) for x in params], 0
-        for r in by_batch[step % n_batches].mapInPandas(gradient, "n int, at binary, gv binary, gw binary, gb binary").collect():
-            total[0][np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["gv"], np.float32).reshape(-1, DIM)
-            total[1] += np.frombuffer(r["gw"], np.float32).reshape(total[1].shape)
-            total[2] += np.frombuffer(r["gb"], np.float32)
-            n += r["n"]
+                parts = [*np.array_split(gv, PARTS), np.concatenate([gw.ravel(), gb])]
+                yield pd.DataFrame({"part": range(PARTS + 1), "n": [n] * (PARTS + 1), "values": [x.astype(np.float32).tobytes() for x in parts]})
+
+        rows = {r["part"]: r for r in _summed(by_batch[step % n_batches].mapInPandas(gradient, "part int, n bigint, values binary"))}
         shared.destroy()
+        if not rows:
+            continue
+        read = [np.frombuffer(rows[k]["values"], np.float32) for k in range(PARTS + 1)]
+        total = [np.concatenate(read[:PARTS]).reshape(params[0].shape), read[PARTS][: params[1].size].reshape(params[1].shape), read[PARTS][params[1].size :]]
         rate = RATE * (1.05 - step / steps)
         params = [x.copy() for x in params]
         for x, g, m, v in zip(params, total, first, second):
-            g = g * (n_subjects / max(n, 1))
+            g = g * (n_subjects / max(rows[0]["n"], 1))
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-9)
     return params
 
 
-def choose_threshold(features: DataFrame, params: list[np.ndarray]) -> tuple[float, float, float]:
-    """(threshold, precision, recall) on the held-out documents: the middle of the thresholds with the best F1.
+GRID, NEAR_BEST = np.arange(-2.5, 1.51, 0.125), 0.002
+
 
-    Only counts per threshold come to the driver."""
-    grid = np.arange(-1.5, 1.01, 0.125)
+def counted(features: DataFrame, params: list[np.ndarray], batch: int) -> list[tuple[float, int, int, int]]:
+    """(threshold, hits, found, true) for every threshold of GRID over a held-out batch; only these come to the driver."""
     shared = features.sparkSession.sparkContext.broadcast(params)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, weights, biases = shared.value
         for g in _blocks(batches):
             z = _means(list(g["ids"]), list(g["shares"]), vectors) @ weights + biases
             y = np.stack(g["y"].to_list()) > 0
-            yield pd.DataFrame({"t": grid, "hits": [((z > t) & y).sum() for t in grid], "found": [(z > t).sum() for t in grid], "true": y.sum(), "n": len(g)})
+            yield pd.DataFrame({"t": GRID, "hits": [((z > t) & y).sum() for t in GRID], "found": [(z > t).sum() for t in GRID], "true": y.sum()})
+
+    per_block = features.where(F.col("batch") == batch).mapInPandas(count, "t double, hits bigint, found bigint, true bigint")
+    return [tuple(r) for r in per_block.groupBy("t").agg(F.sum("hits"), F.sum("found"), F.sum("true")).orderBy("t").collect()]
+
 
-    per_batch = features.where("batch = -1").mapInPandas(counted, "t double, hits bigint, found bigint, true bigint, n bigint")
-    rows = per_batch.groupBy("t").agg(F.sum("hits"), F.sum("found"), F.sum("true"), F.sum("n")).orderBy("t").collect()
-    if not rows or rows[0][4] < 30:
-        return -0.75, float("nan"), float("nan")
-    f1 = [2 * hits / max(1, found + true) for _, hits, found, true, _ in rows]
-    best = [i for i, x in enumerate(f1) if x >= max(f1) - 1e-9]
-    t, hits, found, true, _ = rows[best[len(best) // 2]]
-    return t, hits / max(1, found), hits / max(1, true)
+def choose_threshold(features: DataFrame, params: list[np.ndarray]) -> float:
+    """The highest of the thresholds whose F1 on the documents held out for it is the best, but for NEAR_BEST; 0, where
+    both outcomes are as likely, if there are none. The highest, as only documents with a subject have labels: the
+    others of the corpus can't add hits."""
+    rows = counted(features, params, -1)
+    if not rows or not rows[0][3]:
+        return 0.0
+    f1 = [2 * hits / max(1, found + true) for _, hits, found, true in rows]
+    return max(r[0] for r, x in zip(rows, f1) if x >= max(f1) - NEAR_BEST)
+
+
+def quality(features: DataFrame, params: list[np.ndarray], threshold: float) -> tuple[float, float]:
+    """(precision, recall) on the documents held out from training and from the choice of the threshold."""
+    for t, hits, found, true in counted(features, params, -2):
+        if t == threshold:
+            return hits / max(1, found), hits / max(1, true)
+    return float("nan"), float("nan")
 
 
 def score(documents: DataFrame, params: list[np.ndarray], subjects: list[str], threshold: float) -> DataFrame:
     """(doc_id, subject) of every document's subjects."""
-    shared = documents.sparkSession.sparkContext.broadcast(params)
+    vectors, weights, biases = params
+    shared = documents.sparkSession.sparkContext.broadcast((vectors @ weights, biases))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, weights, biases = shared.value
-        features, names = Features(), np.array(subjects, dtype=object)
-
-        def block(docs: list) -> pd.DataFrame:
-            docs = [(i, f) for i, f in docs if len(f[0])]
-            if not docs:
+        rows, biases = shared.value
+        words, names = Words(len(rows)), np.array(subjects, dtype=object)
+        # Of every word: the sum of its features' rows, and their number. They grow with the words.
+        sums, sizes = np.zeros((0, rows.shape[1]), rows.dtype), np.zeros(0, np.int64)
+
+        def block(ids: list, texts: list[list[int]]) -> pd.DataFrame:
+            nonlocal sums, sizes
+            if not ids:
                 return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "subject": pd.Series([], dtype=object)})
-            z = _means([f[0] for _, f in docs], [f[1] for _, f in docs], vectors) @ weights + biases
+            if len(words.features) > len(sizes):
+                new = words.features[len(sizes) :]
+                n = np.array([len(f) for f in new])
+                sums = np.concatenate([sums, np.add.reduceat(rows[np.concatenate(new)], np.cumsum([0, *n[:-1]]), 0)])
+                sizes = np.concatenate([sizes, n])
+            lengths = np.array([len(t) for t in texts])
+            flat, starts = np.concatenate(texts).astype(np.int64), np.cumsum([0, *lengths[:-1]])
+            of_pairs = np.zeros((len(flat), rows.shape[1]), rows.dtype)
+            of_pairs[:-1] = rows[words.pairs(flat)]
+            of_pairs[np.cumsum(lengths) - 1] = 0
+            total = np.add.reduceat(sums[flat] + of_pairs, starts, 0)
+            z = total / (np.add.reduceat(sizes[flat], starts) + lengths - 1)[:, None] + biases
             at, which = np.nonzero(z > threshold)
-            return pd.DataFrame({"doc_id": np.array([i for i, _ in docs])[at], "subject": names[which]})
+            return pd.DataFrame({"doc_id": np.array(ids)[at], "subject": names[which]})
 
         for g in batches:
-            docs, size = [], 0
+            ids, texts, size = [], [], 0
             for i, t in zip(g["doc_id"], g["text"]):
-                if t:
-                    docs.append((i, features.of(t)))
+                if at := words.of(t):
+                    ids.append(i)
+                    texts.append(at)
                     size += len(t)
                     if size > BLOCK_CHARS:
-                        yield block(docs)
-                        docs, size = [], 0
-            yield block(docs)
+                        yield block(ids, texts)
+                        ids, texts, size = [], [], 0
+            yield block(ids, texts)
+            if len(words.number) > REMEMBERED:
+                words.clear()
+                sums, sizes = sums[:0], sizes[:0]
 
     return documents.where("text is not null").select("doc_id", "text").mapInPandas(scored, "doc_id bigint, subject string")
 
@@ -215,8 +278,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     if features is None or not features.limit(1).count():
         return documents.select("doc_id", F.lit("").alias("subject")).where("false")
     params = train(features, len(names))
-    threshold, _, _ = choose_threshold(features, params)
-    return score(documents, params, names, threshold).distinct()
+    return score(documents, params, names, choose_threshold(features, params)).distinct()
 
 
 def composition(found: DataFrame, documents: DataFrame, subjects: DataFrame) -> DataFrame:
