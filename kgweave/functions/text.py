@@ -109,8 +109,14 @@ def without_thinking(c: Column) -> Column:
 
 def model_text(c: Column) -> Column:
     """Model output without think blocks, code fences, and a preamble line that ends in a colon."""
-    return strip(chained(without_thinking(c), [(r"(?m)^```\w*\s*$", ""), (r"(?i)^\s*(here is|sure|below is)[^\n]*:\s*\n", "")]))
+    return strip(chained(without_thinking(c), [(r"(?m)^```\w*\s*$", ""), (r"(?i)^\s*(here is|sure|below is|dưới đây là|đây là|sau đây là|tất nhiên)[^\n]*:\s*\n", "")]))
 
 
 def first_object(c: Column) -> Column:
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)
+
+
+def unwrapped(c: Column) -> Column:
+    """The value of an object with one key, as models wrap a plain answer; any other text as it is."""
+    read = F.from_json(c, "map<string,string>")
+    return F.when(c.rlike(r"(?s)^\s*\{.*\}\s*$") & (F.size(read) == 1), F.get(F.map_values(read), F.lit(0))).otherwise(c)

@@ -18,10 +18,14 @@ def running(df: DataFrame, key: str, order: list, size: Column, name: str = "tot
 def prefix(df: DataFrame, key: str, order: list, size: Column, limit: Column | float, most_rows: int | None = None) -> DataFrame:
     """The rows of each key, in order, whose sizes together stay within the limit.
 
-    most_rows: no more rows than this can fit (the limit over the least size). They are then cut by rank first, which
-    Spark does before the shuffle, so that a key with very many rows never meets in one place."""
+    most_rows: no more rows of a size of at least 1 than this can fit (the limit). They are then cut by rank first, which
+    Spark does before the shuffle, so that a key with very many rows never meets in one place; rows of size 0, which use
+    nothing up, are kept apart from that cut."""
     if most_rows is not None:
-        df = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__rank") <= most_rows).drop("__rank")
+        sized = df.withColumn("__size", size)
+        ranked = sized.where(F.col("__size") >= 1).withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        df = ranked.where(F.col("__rank") <= most_rows).drop("__rank").unionByName(sized.where("coalesce(__size, 0) < 1"))
+        return running(df, key, order, F.col("__size")).where(F.col("total") <= limit).drop("__size")
     return running(df, key, order, size).where(F.col("total") <= limit)
 
 
@@ -118,11 +122,16 @@ def split_text(text: str, size: Callable[[str], int], limit: int = 1500, overlap
     return out
 
 
-def split_documents(docs: DataFrame, limit: int = 1500, overlap: int = 200) -> DataFrame:
-    """(doc_id, pos, piece, tokens) with the estimated token count (words times 1.3)."""
+def estimated_size(text: str) -> int:
+    """Words times 1.3."""
+    return int(len(text.split()) * 1.3)
+
+
+def split_documents(docs: DataFrame, limit: int = 1500, overlap: int = 200, size: Callable[[str], int] = estimated_size) -> DataFrame:
+    """(doc_id, pos, piece) by a count of tokens: estimated, or exact by any function that is passed."""
 
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t, lambda s: int(len(s.split()) * 1.3), limit, overlap) if t else [] for t in texts], dtype=object)
+        return pd.Series([split_text(t, size, limit, overlap) if t else [] for t in texts], dtype=object)
 
     return docs.select("doc_id", F.posexplode(pieces("text")).alias("pos", "piece"))

@@ -16,22 +16,29 @@ def joined_set(items: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(items)), SEP)
 
 
-def _each(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, item) once per group; de-duplicated on the map side before anything is gathered."""
-    return df.select(*keys, F.explode(column).alias("item")).where("item is not null").distinct()
+def _with_sets(df: DataFrame, keys: list[str], columns: dict[str, str], sums: dict[str, Column]) -> DataFrame:
+    """One row per keys: sums, and of each array column the different items, sorted, as one string.
 
+    One pass for all columns: a row becomes one row for its sums and one for each item, which are de-duplicated and added
+    up on the map side before anything is gathered."""
+    nothing = F.array().cast("array<struct<c:int,item:string>>")
 
-def _with_sets(base: DataFrame, df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
-    for column, alias in columns.items():
-        base = base.join(_each(df, keys, column).groupBy(*keys).agg(joined_set(F.col("item")).alias(alias)), keys, "left")
-    return base.na.fill("", list(columns.values()))
+    def numbered(k: int, column: str) -> Column:
+        return F.coalesce(F.transform(column, lambda x: F.struct(F.lit(k).alias("c"), x.alias("item"))), nothing)
+
+    items = [numbered(k, c) for k, c in enumerate(columns)]
+    own = F.array(F.struct(F.lit(-1).alias("c"), F.lit(None).cast("string").alias("item")))
+    spread = df.select(*keys, *[s.alias(n) for n, s in sums.items()], F.explode(F.concat(own, *items)).alias("x")).where("x.c < 0 or x.item is not null")
+    once = spread.groupBy(*keys, "x").agg(*[F.sum(n).alias(n) for n in sums])
+    whole = [F.sum(F.when(F.col("x.c") < 0, F.col(n))).alias(n) for n in sums]
+    sets = [F.array_join(F.array_sort(F.collect_list(F.when(F.col("x.c") == k, F.col("x.item")))), SEP).alias(alias) for k, alias in enumerate(columns.values())]
+    return once.groupBy(*keys).agg(*whole, *sets)
 
 
 def entity_groups(mentions: DataFrame) -> DataFrame:
     """One row per upper-cased, trimmed name: sets of types, descriptions and chunks, and the number of mentions."""
     named = mentions.withColumn("name", F.upper(F.trim("entity_name"))).where("name <> ''")
-    base = named.groupBy("name").agg(F.count("*").alias("n"))
-    return _with_sets(base, named, ["name"], {"entity_types": "types", "descriptions": "descriptions", "source_chunks": "chunks"})
+    return _with_sets(named, ["name"], {"entity_types": "types", "descriptions": "descriptions", "source_chunks": "chunks"}, {"n": F.lit(1)})
 
 
 def relation_groups(edges: DataFrame, ordered: bool = True) -> DataFrame:
@@ -40,8 +47,7 @@ def relation_groups(edges: DataFrame, ordered: bool = True) -> DataFrame:
     ends = edges.select(a.alias("a"), b.alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"), "source_chunks").where("a <> '' and b <> '' and a <> b")
     if not ordered:
         ends = ends.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
-    base = ends.groupBy("a", "b").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
-    return _with_sets(base, ends, ["a", "b"], {"source_chunks": "chunks"})
+    return _with_sets(ends, ["a", "b"], {"source_chunks": "chunks"}, {"weight": F.col("w"), "n": F.lit(1)})
 
 
 def mapped_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -50,6 +56,12 @@ def mapped_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.groupBy("name").agg(F.sum("n").alias("n"))
 
 
+def mapped_groups(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """As mapped_nodes, with what the nodes of a name hold united: types, descriptions, chunks."""
+    out = nodes.join(mapping, "name", "left").withColumn("name", F.explode(F.coalesce("targets", F.array("name"))))
+    return _with_sets(out, ["name"], {"entity_types": "types", "descriptions": "descriptions", "source_chunks": "chunks"}, {"n": F.col("n")})
+
+
 def mapped_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges(a, b, w) with both ends mapped on their own, unordered, self loops dropped, weights summed."""
     for end in ("a", "b"):

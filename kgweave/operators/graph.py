@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -116,36 +118,74 @@ def ego(edges: DataFrame, centre: DataFrame, radius: int = 2) -> DataFrame:
     return seen
 
 
-def _move(adj: list[dict[int, float]], size: np.ndarray, gamma: float, seed: int) -> np.ndarray:
+def _move(adj: list[dict[int, float]], size: np.ndarray, gamma: float, seed: int, start: np.ndarray | None = None) -> np.ndarray:
     """Local moving for the constant Potts model: each vertex goes where the quality rises most."""
     n, rng = len(adj), np.random.default_rng(seed)
-    c, total = np.arange(n), size.astype(float).copy()
-    todo = list(rng.permutation(n))
+    c = np.arange(n) if start is None else start.copy()
+    total = np.bincount(c, size, n).astype(float)
+    free = [k for k in range(n - 1, -1, -1) if total[k] == 0]
+    todo = deque(rng.permutation(n).tolist())
     waiting = set(todo)
     while todo:
         v = todo.pop()
         waiting.discard(v)
+        old = c[v]
         to: dict[int, float] = {}
         for u, w in adj[v].items():
             to[c[u]] = to.get(c[u], 0.0) + w
-        total[c[v]] -= size[v]
-        best, gain = c[v], to.get(c[v], 0.0) - gamma * size[v] * total[c[v]]
+        total[old] -= size[v]
+        best, gain = old, to.get(old, 0.0) - gamma * size[v] * total[old]
         for k in sorted(to):
             g = to[k] - gamma * size[v] * total[k]
             if g > gain + 1e-12:
                 best, gain = k, g
         if gain < -1e-12:
-            best = next(k for k in range(n) if total[k] == 0)
-        if best != c[v]:
+            # Alone is better; its own community is left with others, so another id is free.
+            best = free.pop()
+        if best != old:
             c[v] = best
+            if total[old] <= 1e-9:
+                total[old] = 0.0
+                free.append(old)
             for u in adj[v]:
                 if c[u] != best and u not in waiting:
-                    todo.insert(0, u)
+                    todo.appendleft(u)
                     waiting.add(u)
         total[best] += size[v]
     return c
 
 
+def _refined(adj: list[dict[int, float]], size: np.ndarray, gamma: float, c: np.ndarray, seed: int) -> np.ndarray:
+    """Within each community: vertices that hold well to it join, one by one from being alone, the part of it where the
+    quality rises most, if that part holds well to the rest. Parts are connected and numbered from 0."""
+    n = len(adj)
+    whole = np.bincount(c, size, n)
+    sub, total, alone = np.arange(n), size.astype(float).copy(), np.ones(n, bool)
+    outer = np.array([sum(w for u, w in adj[v].items() if c[u] == c[v]) for v in range(n)])
+    cut = outer.copy()
+    for v in np.random.default_rng(seed + 1).permutation(n).tolist():
+        if not alone[v] or outer[v] < gamma * size[v] * (whole[c[v]] - size[v]) - 1e-12:
+            continue
+        to: dict[int, float] = {}
+        for u, w in adj[v].items():
+            if c[u] == c[v] and sub[u] != sub[v]:
+                to[sub[u]] = to.get(sub[u], 0.0) + w
+        best, gain = -1, 0.0
+        for k in sorted(to):
+            g = to[k] - gamma * size[v] * total[k]
+            if g > gain + 1e-12 and cut[k] >= gamma * total[k] * (whole[c[v]] - total[k]) - 1e-12:
+                best, gain = k, g
+        if best >= 0:
+            for u in adj[v]:
+                if sub[u] == best:
+                    alone[u] = False
+            cut[best] += outer[v] - 2 * to[best]
+            total[best] += size[v]
+            total[sub[v]] -= size[v]
+            sub[v], alone[v] = best, False
+    return np.unique(sub, return_inverse=True)[1]
+
+
 def _connected(adj: list[dict[int, float]], c: np.ndarray) -> np.ndarray:
     """Communities split into their connected parts."""
     out, n = np.full(len(adj), -1), 0
@@ -163,8 +203,10 @@ def _connected(adj: list[dict[int, float]], c: np.ndarray) -> np.ndarray:
 
 
 def _partition(pairs: list[tuple[int, int, float]], n: int, gamma: float, seed: int) -> np.ndarray:
-    """Moves, splits into connected parts, and contracts until nothing changes."""
-    member, size = np.arange(n), np.ones(n)
+    """Moves, refines, and contracts the refined parts, which start in the communities they were moved to, until no two
+    parts merge; communities are split into their connected parts at the end."""
+    member, size, start = np.arange(n), np.ones(n), None
+    of_vertices: list[dict[int, float]] | None = None
     while True:
         k = len(size)
         adj: list[dict[int, float]] = [{} for _ in range(k)]
@@ -172,12 +214,15 @@ def _partition(pairs: list[tuple[int, int, float]], n: int, gamma: float, seed:
             if a != b:
                 adj[a][b] = adj[a].get(b, 0.0) + w
                 adj[b][a] = adj[b].get(a, 0.0) + w
-        c = _connected(adj, _move(adj, size, gamma, seed))
-        if c.max(initial=-1) + 1 == k:
-            return member
-        member = c[member]
-        size = np.bincount(c, size)
-        pairs = [(c[a], c[b], w) for a, b, w in pairs]
+        of_vertices = of_vertices or adj
+        c = _move(adj, size, gamma, seed, start)
+        part = _refined(adj, size, gamma, c, seed)
+        if part.max(initial=-1) + 1 == k:
+            return _connected(of_vertices, c[member])
+        first = np.unique(part, return_index=True)[1]
+        start = np.unique(c[first], return_inverse=True)[1]
+        member, size = part[member], np.bincount(part, size)
+        pairs = [(part[a], part[b], w) for a, b, w in pairs]
 
 
 def communities(edges: DataFrame, labels: DataFrame, gamma: float, seed: int = 42) -> DataFrame:
@@ -222,6 +267,18 @@ def hierarchy(edges: DataFrame, levels: int = 5, gamma: float = 1.0, seed: int =
     return out
 
 
+def tree(levels: DataFrame) -> DataFrame:
+    """(community_id, level, c, n_members, parent_id, sub_communities) of the rows of ``hierarchy``. Ids hold level and name,
+    so that no two communities of any levels share one; level 0 has no sub-communities, the last no parents."""
+    own = levels.groupBy("level", "c").agg(F.count("*").alias("n_members"))
+    ident = lambda level, c: F.concat(F.lit("L"), level.cast("string"), F.lit(":"), c)
+    up = levels.where("level > 0").select((F.col("level") - 1).alias("level"), F.col("child").alias("c"), ident(F.col("level"), F.col("c")).alias("parent_id")).distinct()
+    down = up.groupBy("parent_id").agg(F.array_sort(F.collect_list(ident(F.col("level"), F.col("c")))).alias("subs"))
+    named = own.join(up, ["level", "c"], "left").withColumn("community_id", ident(F.col("level"), F.col("c")))
+    nothing = F.array().cast("array<string>")
+    return named.join(down.withColumnRenamed("parent_id", "community_id"), "community_id", "left").select("community_id", "level", "c", "n_members", "parent_id", F.coalesce("subs", nothing).alias("sub_communities"))
+
+
 def quality(edges: DataFrame, member: DataFrame, gamma: float) -> DataFrame:
     """The constant-Potts quality: inner weight less gamma times the pairs of each community."""
     inner = within_communities(edges, member).select("w")

@@ -64,6 +64,7 @@ SPELLING = [
     (r"\s{2,}", " "),
     (r"^\s+|\s+$", ""),
 ]
+# Ordered rules for markup, temperatures and repeated phrases.
 _MARKUP = [(r"[#*{}\[\]_><]+", " "), (r"\$", ""), (r"(?<=[A-Z])\s+(?=\d)", ""), (r"\^-", "-"), (r"\s{2,}", " ")]
 _HEAT = [("</\\|>", " "), (r"\[\s*O\s*\]\s*C", "°C"), (r"ĐỘ\s+C\b", "°C")]
 _LAST = [("DIHYDROXY VITAMIN", "DIHYDROXYVITAMIN"), (r"\b(.+?)(?:\s+\1)+\b", "$1"), (r"\s{2,}", " ")]

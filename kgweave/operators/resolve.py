@@ -91,13 +91,19 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_pairs(vectors: DataFrame, least: float, tiles: int = 8) -> DataFrame:
+#: Vectors of one tile, about.
+TILE = 4000
+
+
+def vector_pairs(vectors: DataFrame, least: float, tiles: int | None = None) -> DataFrame:
     """(a, b, cosine) of vectors(id, embedding) with a cosine of at least ``least``: every pair of tiles is multiplied once.
 
-    A tile is about 1/tiles of the rows; raise ``tiles`` with the table so that a pair of tiles fits in a task."""
+    A tile is about 1/tiles of the rows, by default TILE of them, so that a pair of tiles fits in a task whatever the
+    table. Exact and so quadratic; kgweave.operators.index finds the nearest at less."""
     import numpy as np
     import pandas as pd
 
+    tiles = tiles or max(8, -(-vectors.count() // TILE))
     tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
     v = vectors.select("id", "embedding", tile.alias("t"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda o: F.struct(F.least("t", o).alias("i"), F.greatest("t", o).alias("j"))))

@@ -40,22 +40,9 @@ def top_per(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def batch_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, rank): k nearest of every query(query, q), exact.
-
-    The queries are a stated set and are broadcast to the vectors' partitions; each partition keeps its k best per query
-    before anything is shuffled."""
-    near = vectors.crossJoin(F.broadcast(queries)).where("id <> query")
-    own, other = F.sqrt(dot("embedding", "embedding")), F.sqrt(dot("q", "q"))
-    scored = near.select("query", "id", F.round((1 + dot("embedding", "q") / (own * other)) / 2, 6).alias("score"))
-    local = scored.withColumn("lane", F.spark_partition_id())
-    first = local.withColumn("r", F.row_number().over(Window.partitionBy("query", "lane").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k).drop("r", "lane")
-    return top_per(first, "query", [F.desc("score"), F.col("id")], k)
-
-
 def one_hop(centres: DataFrame, links: DataFrame, k: int = 15) -> DataFrame:
     """(id, score, neighbours): of each centre its k strongest links(x, y, w) of either direction; centres without stay."""
-    near = links.join(F.broadcast(centres.select(F.col("id").alias("x"))), "x")
+    near = links.join(centres.select(F.col("id").alias("x")), "x")
     best = top_per(near, "x", [F.desc("w"), F.col("y")], k)
     lists = best.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("rank", "y", "w"))).alias("near"))
     return centres.join(lists, centres["id"] == lists["x"], "left").select("id", "score", F.coalesce("near", F.array().cast("array<struct<rank:int,y:bigint,w:bigint>>")).alias("near"))

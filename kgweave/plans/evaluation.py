@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgweave.operators import index as I
 from kgweave.operators import retrieval as R
 from kgweave.plans.search import _R, _V, _reports, _vectors
 from kgweave.plans.sql import as_int
@@ -47,7 +48,7 @@ def _golden(spark, sf_dir):
     q = v.where("id % 100 = 0").select(F.col("id").alias("expected"), F.col("embedding").alias("q"))
     nxt = v.select((F.col("id") - 1).alias("expected"), F.col("embedding").alias("o"))
     queries = q.join(nxt, "expected").select(F.col("expected").alias("query"), F.zip_with("q", "o", lambda a, b: a.cast("double") * 0.6 + b.cast("double")).alias("q"), "expected")
-    top = R.batch_top(queries.select((-F.col("query") - 1).alias("query"), "q"), v, 10)
+    top = I.top(queries.select((-F.col("query") - 1).alias("query"), "q"), v, 10)
     return queries.select((-F.col("query") - 1).alias("query"), "expected").join(top.select("query", F.col("id").alias("expected"), "rank"), ["query", "expected"], "left")
 
 
@@ -75,6 +76,7 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.dropna(subset=list(_SCORES))
 
 
+
 def judge_summary(spark, sf_dir):
     j = scored(_judged(spark, sf_dir))
     aggs = [f(c).alias(f"{c}_{n}") for c in _SCORES for n, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("sd", lambda c: F.round(F.stddev_samp(c), 6)), ("low", F.min), ("high", F.max))]
@@ -152,7 +154,7 @@ select *, case when hr5 >= 70 and mrr >= 0.6 then 'production' when hr5 >= 50 th
     "stratified_sample": f"with {_SAMPLE} select level, id, rank from s",
     "described_node_sample": "with n as (select distinct id, descriptions[1] as d from nodes where entity_name is not null and trim(descriptions[1]) <> '') select id, d from n order by md5(id::varchar || ':42'), id, d limit 50",
     "question_fanout": f"with {_SAMPLE}, p as (select unnest(['1', '2']) as i) select id, 'persona ' || a.i as persona, 'task ' || b.i as task, 'question ' || c.i as question from s, p a, p b, p c",
-    "points_context": "select user_id, '[' || string_agg(distinct '\"' || event_type || '\"', ',' order by '\"' || event_type || '\"') || ']' as types, count(*) as n from events where event_id % 50 = 0 group by 1",
+    "points_context": "select user_id, '[' || string_agg(distinct '\"' || event_type || '\"', ',' order by '\"' || event_type || '\"') || ']' as types, count(*) as n from events group by 1",
     "node_sizes": "select distinct id, greatest(10.0, least(50.0, degree / 2)) as size from nodes where degree is not null",
 }
 

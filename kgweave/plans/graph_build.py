@@ -43,6 +43,12 @@ def graph_rebuild_nodes(spark, sf_dir):
     return E.mapped_nodes(_named(spark, sf_dir), _mapping(spark, sf_dir))
 
 
+def graph_rebuild_groups(spark, sf_dir):
+    """The mapped nodes with what they hold: types, descriptions and chunks of all that became one."""
+    n = table(spark, sf_dir, "nodes").where("entity_name is not null").select(F.col("entity_name").alias("name"), F.coalesce("occurrence_count", F.lit(1)).alias("n"), "entity_types", "descriptions", "source_chunks")
+    return E.mapped_groups(n, _mapping(spark, sf_dir))
+
+
 def graph_rebuild_edges(spark, sf_dir):
     return E.mapped_edges(_links(spark, sf_dir), _mapping(spark, sf_dir))
 
@@ -106,7 +112,7 @@ def extraction_totals(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (entity_exact_groups, relation_exact_groups, relation_unordered_groups, graph_rebuild_nodes, graph_rebuild_edges, unique_entity_names, self_heal_nodes, dangling_edge_filter, node_upsert, uniqueness_violations, resume_pending, resume_priority, merge_precedence, node_ids, extraction_totals)}
+QUERIES = {f.__name__: f for f in (entity_exact_groups, relation_exact_groups, relation_unordered_groups, graph_rebuild_nodes, graph_rebuild_groups, graph_rebuild_edges, unique_entity_names, self_heal_nodes, dangling_edge_filter, node_upsert, uniqueness_violations, resume_pending, resume_priority, merge_precedence, node_ids, extraction_totals)}
 
 
 def _relations(a: str, b: str) -> str:
@@ -133,6 +139,15 @@ with {_MAPPING}, n as (select entity_name as name, coalesce(occurrence_count, 1)
 select name, cast(sum(n) as bigint) as n from (
   select mm.t as name, n.n from n join mm on n.name = mm.name
   union all select n.name, n.n from n where n.name not in (select name from m)) group by 1""",
+    "graph_rebuild_groups": f"""
+with {_MAPPING}, n as (select entity_name as name, coalesce(occurrence_count, 1) as n, entity_types, descriptions, source_chunks from nodes where entity_name is not null),
+o as (select mm.t as name, n.n, entity_types, descriptions, source_chunks from n join mm on n.name = mm.name
+  union all select * from n where n.name not in (select name from m)),
+t as (select name, string_agg(distinct x, '|' order by x) as types from (select name, unnest(entity_types) as x from o) where x is not null group by 1),
+c as (select name, string_agg(distinct x, '|' order by x) as chunks from (select name, unnest(source_chunks) as x from o) where x is not null group by 1),
+d as (select name, string_agg(distinct x, '|' order by x) as descriptions from (select name, unnest(descriptions) as x from o) where x is not null group by 1)
+select g.name, g.n, coalesce(t.types, '') as types, coalesce(d.descriptions, '') as descriptions, coalesce(c.chunks, '') as chunks
+from (select name, cast(sum(n) as bigint) as n from o group by 1) g left join t using (name) left join d using (name) left join c using (name)""",
     "graph_rebuild_edges": f"""
 with {_MAPPING}, e as (select source as a, target as b, coalesce(weight, 1.0) as w from edges where source is not null and target is not null),
 x as (select mm.t as a, b, w from e join mm on a = mm.name union all select a, b, w from e where a not in (select name from m)),

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from kgweave.plans.graph_build import SQL as GROUPS
-from kgweave.session import shared_dir, table
+from kgweave.session import new_folder, table
 from kgweave.streaming import ingest as S
 
 
 def _dirs(spark) -> tuple[str, str]:
-    d = f"{shared_dir(spark)}/kgweave/stream-{uuid.uuid4().hex}"
+    d = new_folder(spark, "stream")
     return f"{d}/out", f"{d}/checkpoint"
 
 

@@ -50,9 +50,9 @@ def token_boost(spark, sf_dir):
 
 
 def synthetic_queries(spark, sf_dir):
-    r = table(spark, sf_dir, "ref_entities")
-    text = F.concat(F.lit("Tình trạng của "), F.lower("canonical_name"), F.lit(" cần can thiệp sớm tại tuyến huyện"))
-    return r.select("ref_id", M.synthetic_query(text, F.col("canonical_name")).alias("q"))
+    """Of every described node a question: its first description without its name."""
+    n = table(spark, sf_dir, "nodes").select("id", F.lower(F.trim("entity_name")).alias("name"), F.lower(F.get("descriptions", F.lit(0))).alias("d")).where("name <> '' and trim(d) <> ''").distinct()
+    return n.select("id", M.synthetic_query(F.col("d"), F.col("name")).alias("q"))
 
 
 def audit_rates(spark, sf_dir):
@@ -70,5 +70,5 @@ SQL = {
     "consolidated_descriptions": "with n as (select id, max(descriptions) as d from nodes group by 1), c as (select id, list_filter(list_transform(d, lambda x: trim(x)), lambda x: x is not null and x <> '') as d from n) select id, case when len(list_distinct(d)) > 1 then array_to_string(list_sort(list_distinct(d)), '; ') else d[1] end as text from c",
     "report_validity": "with r as (select entity_type, list_sort(list_distinct(list(canonical_name))) as names, min(ref_id) as c from ref_entities group by 1) select entity_type, c % 3 <> 0 as valid, case when c % 3 <> 0 then array_to_string(names[1:3], ', ') end as title, case when c % 3 <> 0 then least(5, len(names))::int end as n_findings from r",
     "token_boost": "select distinct id, least(12000, 4000 + coalesce(occurrence_count, 0) * 1500) as most from nodes",
-    "synthetic_queries": "select ref_id, 'query: ' || trim(left('Tình trạng của ... cần can thiệp sớm tại tuyến huyện', 80)) as q from ref_entities",
+    "synthetic_queries": "with n as (select distinct id, lower(trim(entity_name)) as name, lower(descriptions[1]) as d from nodes where trim(entity_name) <> '' and trim(descriptions[1]) <> '') select id, 'query: ' || trim(left(replace(d, name, '...'), 80)) as q from n",
 }

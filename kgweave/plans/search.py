@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from kgweave.functions.text import estimated_tokens, first_object, model_text, truncated
 from kgweave.operators import answers as A
 from kgweave.operators import budget as B
+from kgweave.operators import index as I
 from kgweave.operators import retrieval as R
 from kgweave.providers import Offline, complete
 from kgweave.plans.sql import as_int
@@ -23,10 +24,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _links(vectors: DataFrame, centres: DataFrame, least: float = 0.3) -> DataFrame:
     """(x, y, w): links of the centres only, weight = cosine in thousandths."""
-    c = F.broadcast(vectors.join(F.broadcast(centres.select("id")), "id").select(F.col("id").alias("x"), F.col("embedding").alias("q")))
-    near = vectors.crossJoin(c).where("id <> x").select("x", F.col("id").alias("y"), R.dot("embedding", "q").alias("c"), F.sqrt(R.dot("embedding", "embedding")).alias("n"), F.sqrt(R.dot("q", "q")).alias("m"))
-    cosine = near.withColumn("c", F.col("c") / (F.col("n") * F.col("m"))).where(F.col("c") >= least)
-    return cosine.select("x", "y", F.round(F.col("c") * 1000).cast("bigint").alias("w"))
+    own = vectors.join(centres.select("id"), "id").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    return I.at_least(own, vectors, least).select(F.col("query").alias("x"), F.col("id").alias("y"), F.round(F.col("score") * 1000).cast("bigint").alias("w"))
 
 
 def local_context(vectors: DataFrame, names: DataFrame, query: list[float], term: str, k: int = 5) -> DataFrame:
@@ -44,7 +43,25 @@ def hybrid_local_context(spark, sf_dir):
 def vector_topk_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     queries = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
-    return R.batch_top(queries, v, 10).select("query", "id", "score", "rank")
+    return I.top(queries, v, 10).select("query", "id", "score", "rank")
+
+
+def vector_index_exact(spark, sf_dir):
+    """The same by the index of cells, with every cell looked up."""
+    v = _vectors(spark, sf_dir)
+    at = I.centres(v)
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    return I.search(queries, I.build(v, at), at, 10, probes=len(at)).select("query", "id", "score", "rank")
+
+
+def vector_index_recall(spark, sf_dir):
+    """How many of the exact 10 nearest the index finds in half of its cells."""
+    v = _vectors(spark, sf_dir)
+    at = I.centres(v)
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    found = I.search(queries, I.build(v, at), at, 10, probes=max(1, len(at) // 2)).select("query", "id", F.lit(1).alias("hit"))
+    both = I.top(queries, v, 10).select("query", "id").join(found, ["query", "id"], "left")
+    return both.agg(F.count("*").alias("n"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
 def keyword_contains(spark, sf_dir):
@@ -180,7 +197,7 @@ def report_markdown(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_local_context, vector_topk_batch, keyword_contains, node_top_neighbours, enriched_text, embedding_coverage, embedding_writeback, report_levels, entity_budget_prefix, edge_budget_prefix, reduce_context_prefix, description_budget, description_collapse, community_text, merge_small_chunks, pack_chunks, split_documents, score_filter_points, answer_cleaning, global_map_points, report_markdown)
+    for f in (hybrid_local_context, vector_topk_batch, vector_index_exact, vector_index_recall, keyword_contains, node_top_neighbours, enriched_text, embedding_coverage, embedding_writeback, report_levels, entity_budget_prefix, edge_budget_prefix, reduce_context_prefix, description_budget, description_collapse, community_text, merge_small_chunks, pack_chunks, split_documents, score_filter_points, answer_cleaning, global_map_points, report_markdown)
 }
 
 _V = "v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings), u as (select id, e, sqrt(list_dot_product(e, e)) as n from v)"
@@ -207,7 +224,7 @@ select rank, 'V' || id as entity, score, coalesce(n, 0)::int as n_relationships,
     "report_levels": "select doc_id as id, coalesce(l.level, -1) as level from documents left join (select doc_id, count(*)::int as level from doc_labels group by 1) l using (doc_id)",
     "entity_budget_prefix": f"with n as (select distinct id, entity_name, coalesce(occurrence_count, 0) as o, unnest(source_chunks) as chunk from nodes where entity_name is not null), r as (select chunk, id, entity_name, sum({_TOK.format('entity_name')}) over (partition by chunk order by o desc, id, entity_name rows unbounded preceding) as total from n where chunk is not null) select chunk, id, entity_name, total::bigint as total from r where total <= 60",
     "edge_budget_prefix": f"with e as (select distinct id, source, target, coalesce(priority_score, -1.0) as p from edges where source is not null and target is not null), r as (select source, id, 200 - {_TOK.format('source')} as budget, sum({_TOK.format("source || ' ' || target")}) over (partition by source order by p desc, id, target rows unbounded preceding) as total from e) select source, id, total::bigint as total from r where total <= budget",
-    "reduce_context_prefix": f"with {_R}, p as (select level as key, id || ' ' || substring(text, 1, 400) as d, tokens::double as score from rep where tokens > 0), k as (select *, row_number() over (partition by key order by score desc, d) as k from p), t as (select key, k, score, sum(length('#' || k || ' (' || score::int || ')' || chr(10) || d || chr(10) || chr(10))) over (partition by key order by k rows unbounded preceding) as total from k) select key, k, score, total::bigint as total from t where total <= 21000",
+    "reduce_context_prefix": f"with {_R}, l as (select id, level as key, unnest(string_split_regex(text, '\\r?\\n')) as line from rep), p as (select key, id || ' ' || line as d, {_TOK.format('line')}::double as score from l), k as (select *, row_number() over (partition by key order by score desc, d) as k from p where score > 0), t as (select key, k, score, sum(length('#' || k || ' (' || score::int || ')' || chr(10) || d || chr(10) || chr(10))) over (partition by key order by k rows unbounded preceding) as total from k) select key, k, score, total::bigint as total from t where total <= 21000",
     "description_budget": "with d as (select distinct entity_name as name, unnest(descriptions) as d from nodes where entity_name is not null), r as (select *, sum(length(d)) over (partition by name order by d rows unbounded preceding) as total from d where trim(d) <> ''), g as (select name, coalesce(string_agg(d, chr(10) order by total) filter (total <= 300), '') as t, count(*) filter (total > 300) as omitted from r group by 1) select name, case when omitted > 0 then t || chr(10) || '...(' || omitted || ' omitted)' else t end as text, omitted from g",
     "description_collapse": "with n as (select distinct id, list_filter(list_transform(descriptions, lambda x: trim(x)), lambda x: x is not null and x <> '') as d from nodes) select distinct id, coalesce(len(list_distinct(d)) > 1, false) as needs_model, d[1] as first from n",
     "community_text": "select distinct id || ',' || entity_name || ',' || case when d = '' then '-' when length(d) > 300 then left(d, 300) || '...' else d end as row from (select id, entity_name, coalesce(array_to_string(descriptions, ' '), '') as d from nodes where entity_name is not null)",
@@ -235,4 +252,6 @@ _INT = {
     "embedding_writeback": ["dims"],
     "reduce_context_prefix": ["k"],
 }
+SQL["vector_index_exact"] = SQL["vector_topk_batch"]
+_INT["vector_index_exact"] = ["rank"]
 SQL |= {name: as_int(SQL[name], *columns) for name, columns in _INT.items()}

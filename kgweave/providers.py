@@ -77,19 +77,23 @@ class Routed:
         raise error or RuntimeError("every provider is locked")
 
 
-def complete(df: DataFrame, prompt: str, output: str, provider: Complete, batch: int = 6, calls: int | None = None) -> DataFrame:
-    """df with the provider's answers; a failed batch gives nulls. calls: partitions that call at the same time."""
-    schema = StructType([*df.schema.fields, StructField(output, StringType())])
+def complete(df: DataFrame, prompt: str, output: str, provider: Complete, batch: int = 6, calls: int | None = None, error: str | None = None) -> DataFrame:
+    """df with the provider's answers; a failed batch gives nulls. calls: partitions that call at the same time; error: a
+    column for what went wrong with a row's batch, so that what is missing can be counted and asked again."""
+    schema = StructType([*df.schema.fields, StructField(output, StringType()), *([StructField(error, StringType())] if error else [])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
             answers: list[str | None] = []
+            errors: list[str | None] = []
             for i in range(0, len(g), batch):
                 some = g[prompt].iloc[i : i + batch].tolist()
                 try:
                     answers += provider(some)
-                except Exception:
+                    errors += [None] * len(some)
+                except Exception as e:
                     answers += [None] * len(some)
-            yield g.assign(**{output: answers})
+                    errors += [f"{type(e).__name__}: {e}"] * len(some)
+            yield g.assign(**{output: answers}, **({error: errors} if error else {}))
 
     return (df.repartition(calls) if calls else df).mapInPandas(run, schema)

@@ -66,3 +66,73 @@ def test_vector_pairs(spark):
     v = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(3)]) for i in range(9)], "id bigint, embedding array<float>")
     got = {(r["a"], r["b"]) for r in vector_pairs(v, 0.9, tiles=3).collect()}
     assert got == {(a, b) for a in range(9) for b in range(a + 1, 9) if a % 3 == b % 3}
+
+
+def test_partition_is_near_the_best():
+    """On small random graphs the quality of the partition is that of the best one, or close; communities are connected."""
+    from itertools import combinations
+
+    def parts(n):
+        def grow(i, c, top):
+            if i == n:
+                yield c
+                return
+            for k in range(top + 2):
+                yield from grow(i + 1, [*c, k], max(top, k))
+
+        return grow(1, [0], 0)
+
+    rng, total, best_total = random.Random(5), 0.0, 0.0
+    for _ in range(12):
+        n = 7
+        pairs = [(a, b, rng.choice([0.5, 1.0, 2.0])) for a, b in combinations(range(n), 2) if rng.random() < 0.5]
+        value = lambda c: sum(w for a, b, w in pairs if c[a] == c[b]) - 0.6 * sum(c[a] == c[b] for a, b in combinations(range(n), 2))
+        best, got = max(map(value, parts(n))), G._partition(pairs, n, 0.6, 42)
+        assert value(got) <= best + 1e-9
+        total, best_total = total + value(got), best_total + best
+        for k in set(got):
+            members = {i for i in range(n) if got[i] == k}
+            seen, stack = set(), [min(members)]
+            while stack:
+                v = stack.pop()
+                if v not in seen:
+                    seen.add(v)
+                    stack += [u for a, b, _ in pairs for u, x in ((a, b), (b, a)) if x == v and u in members]
+            assert seen == members
+    assert total >= 0.97 * best_total
+
+
+def test_partition_frees_communities():
+    """A vertex whose community got too large leaves for an id of its own, as often as that is needed."""
+    pairs = [(i, j, 1.0) for i in range(12) for j in range(i + 1, 12)] + [(i, 12 + i, 0.2) for i in range(12)]
+    got = G._partition(pairs, 24, 0.5, 1)
+    assert len(set(got[:12])) == 1 and len(set(got)) == 13
+
+
+def test_community_tree(spark):
+    edges, _ = _graph(spark)
+    rows = {r["community_id"]: r for r in G.tree(G.hierarchy(edges, levels=3, gamma=0.5)).collect()}
+    assert all(r["parent_id"] is None or i in rows[r["parent_id"]]["sub_communities"] for i, r in rows.items())
+    assert all(rows[s]["parent_id"] == i for i, r in rows.items() for s in r["sub_communities"])
+    assert {r["n_members"] for r in rows.values() if r["level"] == 0} == {6}
+
+
+def test_vector_index(spark):
+    """All cells: exact; half of the cells: nearly all. Null and zero vectors, ties and no rows don't crash."""
+    from kgweave.operators import index as I
+
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(c, 0.3) for c in ((i % 6) == k for k in range(6))]) for i in range(300)] + [(900, None), (901, [0.0] * 6), (902, [1.0] + [0.0] * 5), (903, [1.0] + [0.0] * 5)]
+    v = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    q = v.where("id % 50 = 0 and id < 900").selectExpr("id as query", "embedding as q")
+    at = I.centres(v, 12)
+    index = I.build(v, at)
+    exact = {(r["query"], r["id"], r["rank"]) for r in I.top(q, v, 5).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5 or 1.0)
+    vec = {i: e for i, e in rows if e}
+    want = {(k, i, n + 1) for k in range(0, 300, 50) for n, i in enumerate(sorted((i for i in vec if i != k), key=lambda i: (-round((1 + cosine(vec[k], vec[i])) / 2, 6), i))[:5])}
+    assert exact == want and {(r["query"], r["id"], r["rank"]) for r in I.search(q, index, at, 5, probes=12).collect()} == want
+    some = {(r["query"], r["id"]) for r in I.search(q, index, at, 5, probes=6).collect()}
+    assert len(some & {(a, b) for a, b, _ in want}) >= 0.9 * len(want)
+    assert index.count() == 303 and {(r["query"], r["id"]) for r in I.at_least(q, v, 0.99).collect()} == {(k, i) for k in range(0, 300, 50) for i in vec if i != k and cosine(vec[k], vec[i]) >= 0.99}
+    assert I.top(q.limit(0), v, 5).count() == 0 and I.search(q, I.build(v.limit(0), I.centres(v.limit(0))), I.centres(v.limit(0)), 5).count() == 0

@@ -202,3 +202,43 @@ def test_no_leak(spark):
     names = ["VIÊM {GAN}", "a<|>b", "ENTITY x", "KEYWORD", "x; y", "GAN"]
     df = R.audit(spark.createDataFrame([(n,) for n in names], "name string"))
     assert {r["name"]: r["status"] for r in df.collect()} == {"VIÊM {GAN}": "SUCCESS_RECOVERY", "a<|>b": "FAILED_LEAK", "ENTITY x": "SUCCESS_DROP_NOISE", "KEYWORD": "FAILED_LEAK", "x; y": "FAILED_LEAK", "GAN": "CLEAN"}
+
+
+def test_prefix_keeps_rows_of_no_size(spark):
+    """Blank rows use nothing up: the cut by rank, which is there for hot keys, takes none of them away."""
+    from kgweave.operators.budget import prefix
+
+    rows = [("k", i, 0) for i in range(10)] + [("k", 10, 1), ("k", 11, 5), ("k", 12, 0)]
+    df = spark.createDataFrame(rows, "key string, o int, size int")
+    whole = prefix(df, "key", ["o"], F.col("size"), 5).collect()
+    assert sorted(whole) == sorted(prefix(df, "key", ["o"], F.col("size"), 5, most_rows=5).collect()) and len(whole) == 11
+
+
+def test_hot_keys_join_on_their_own(spark):
+    from kgweave.session import join_hot
+
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), ("gone", 3), (None, 4)], "k string, n int")
+    right = spark.createDataFrame([("hot", "H"), ("a", "A"), ("b", "B"), ("other", "O")], "k string, v string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, join_hot(left, right, "k", how, heavy_rows=10).select("k", "n", "v").collect()), key=str)
+        assert got == sorted(map(tuple, left.join(right, "k", how).select("k", "n", "v").collect()), key=str)
+
+
+def test_failed_batches_are_told(spark):
+    from kgweave.providers import complete
+
+    def provider(prompts):
+        if "bad" in prompts:
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+
+    got = {r["p"]: (r["a"], r["e"]) for r in complete(spark.createDataFrame([("x",), ("bad",)], "p string").coalesce(1), "p", "a", provider, batch=1, error="e").collect()}
+    assert got == {"x": ("X", None), "bad": (None, "ValueError: no")}
+
+
+def test_wrapped_answers(spark):
+    from kgweave.functions.text import model_text, unwrapped
+
+    rows = [('{"answer": "gan"}', "gan"), ('{"a": "1", "b": "2"}', '{"a": "1", "b": "2"}'), ("gan", "gan"), (None, None), ("{bad", "{bad"), ("Dưới đây là câu trả lời:\ngan", "gan")]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "t string")
+    assert [r[0] for r in df.select(unwrapped(model_text(F.col("t")))).collect()] == [b for _, b in rows]
