@@ -1,7 +1,8 @@
 """One consistent form of text, and the key under which names that read the same compare equal.
 
 Consistent form: compatibility characters (full-width forms, ligatures, numeral signs) are spelled out, except
-superscripts and subscripts; letters of other scripts that look like Latin ones become Latin; invisible characters go;
+superscripts and subscripts; letters of other scripts that look like Latin ones become Latin, and digits of every
+script plain digits; invisible characters go;
 all white space is U+0020 and all hyphens U+002D; marks are composed. Null stays null, the empty string stays empty.
 """
 
@@ -18,8 +19,15 @@ from pyspark.sql import functions as F
 # Letters that look like a Latin letter, and that letter.
 CYRILLIC = dict(zip("АВЕКМНОРСТУХЅІЈԚԜҮҺаеорсухѕіјԛԝһԁ", "ABEKMHOPCTYXSIJQWYhaeopcyxsijqwhd"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABEZHIKMNOPTYXoj"))
-LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ɑ": "a", "ɡ": "g"}
-LOOK_ALIKES = CYRILLIC | GREEK | LATIN
+LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ɑ": "a", "ɡ": "g", "ı": "i", "ȷ": "j"}
+OLD_CYRILLIC = dict(zip("ӀӏѴѵԌ", "IlVvG"))
+ARMENIAN = dict(zip("ՍՏՕհոսօցզ", "USOhnuogq"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎶᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"))
+COPTIC = dict(zip("ⲂⲤⲎⲒⲔⲘⲚⲞⲢⲦⲨⲬⲌⲥⲟⲣ", "BCHIKMNOPTYXZcop"))
+# By rule: small capitals are the capitals they are named after.
+SMALL_CAPITALS = {c: n[-1] for c in map(chr, range(0x250, 0x1D23)) if (n := unicodedata.name(c, "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(n.split()) == 5 and len(n.split()[-1]) == 1}
+LOOK_ALIKES = CYRILLIC | GREEK | LATIN | OLD_CYRILLIC | ARMENIAN | CHEROKEE | LISU | COPTIC | SMALL_CAPITALS
 # Hyphen-like signs. Soft hyphens are invisible and go.
 HYPHENS = "‐‑‒–−﹣－"
 # The marks that make another Vietnamese letter; they come before the marks of tone.
@@ -43,6 +51,9 @@ def spelled_out(ch: str) -> str | None:
         return None if ch == " " else " "
     if ch in HYPHENS:
         return "-"
+    digit = unicodedata.decimal(ch, None)
+    if digit is not None:
+        return None if ch == str(digit) else str(digit)
     tag = unicodedata.decomposition(ch)
     if tag.startswith(("<super>", "<sub>")):
         return None

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from kgweave.session import lanes, materialize, small_enough
 
+#: Parts that the records of one key and day are split into.
+LANES = 16
 _SPANS = "array<struct<a:timestamp_ntz,b:timestamp_ntz>>"
 
 
@@ -36,14 +38,17 @@ def _merged(spans: Column) -> Column:
 def presence(records: DataFrame) -> DataFrame:
     """(key, since, spans): present for ever since ``since``, and during the disjoint spans before it.
 
-    Spans are merged first per key and day of loading, then per key, so that a hot key's records are never gathered
-    whole: what meets in one place are the gaps between its merged spans."""
+    Spans are merged first per key, day of loading and lane, then per key and day, then per key, so that a hot key's
+    records are never gathered whole, nor those of one of its days: what meets in one place are the gaps between merged
+    spans."""
     r = records.where("key is not null and loaded_at is not null and (deleted_at is null or deleted_at > loaded_at)")
     kept = F.when(F.col("deleted_at").isNotNull(), F.struct(F.col("loaded_at").alias("a"), F.col("deleted_at").alias("b")))
-    first = r.groupBy("key", F.date_trunc("day", "loaded_at").alias("day")).agg(
+    lane = F.pmod(F.xxhash64("loaded_at", "deleted_at"), F.lit(LANES))
+    first = r.groupBy("key", F.date_trunc("day", "loaded_at").alias("day"), lane.alias("lane")).agg(
         F.min(F.when(F.col("deleted_at").isNull(), F.col("loaded_at"))).alias("since"), _merged(F.array_sort(F.collect_set(kept))).alias("spans")
     )
-    whole = first.groupBy("key").agg(F.min("since").alias("since"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    days = first.groupBy("key", "day").agg(F.min("since").alias("since"), _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
+    whole = days.groupBy("key").agg(F.min("since").alias("since"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     return whole.select("key", "since", _merged(F.filter("spans", lambda s: F.col("since").isNull() | (s["a"] < F.col("since")))).alias("spans"))
 
 

@@ -6,8 +6,9 @@ from kgweave.functions.names import HYPHENS, LOOK_ALIKES
 
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
 _SPACES = "              　"
-_FROM = "".join(LOOK_ALIKES) + _WIDE[0] + _SPACES + HYPHENS.replace("－", "") + "Ⅰ"
-_TO = "".join(LOOK_ALIKES.values()) + _WIDE[1] + " " * len(_SPACES) + "-" * (len(HYPHENS) - 1) + "I"
+_DIGITS = [chr(c) for c in range(0x80, 0x20000) if chr(c).isdecimal() and chr(c) not in _WIDE[0]]
+_FROM = "".join(LOOK_ALIKES) + _WIDE[0] + _SPACES + HYPHENS.replace("－", "") + "Ⅰ" + "".join(_DIGITS)
+_TO = "".join(LOOK_ALIKES.values()) + _WIDE[1] + " " * len(_SPACES) + "-" * (len(HYPHENS) - 1) + "I" + "".join(str(int(c)) for c in _DIGITS)
 _GONE = "[\\x{AD}\\x{34F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]"
 
 

@@ -45,3 +45,8 @@ def test_key():
 def test_key_column(spark):
     df = spark.createDataFrame([(None,), ("",), (" ",), ("đ",)], "s string").repartition(1)
     assert {r[0] for r in df.select(name_key("s")).collect()} == {None, "", "Đ"}
+
+
+def test_look_alikes_of_other_scripts_and_digits():
+    pairs = {"Ӏѵ": "Iv", "օ": "o", "Ꭺ": "A", "ꓮ": "A", "ⲟ": "o", "ı": "i", "ʙ": "B", "٣٤": "34", "१२": "12", "𝟗": "9", "Ⅳ": "IV", "²": "²", "₂": "₂", "β": "β", "ệ": "ệ"}
+    assert {k: canonical_text(k) for k in pairs} == pairs
