@@ -4,7 +4,8 @@ Names get 64-bit ids in code-point order. In every round each component selects
 (smaller, larger) labels of its ends; the chosen edges form trees whose only cycles are the pairs that chose the same
 edge, of which the smaller label becomes the root, and which is the smallest label of its tree. Trees collapse by
 pointer doubling, edges are relabelled and deduplicated, until none remain. The number of components with edges at
-least halves in each round, so there are at most log2(n) rounds, usually three or four.
+least halves in each round, so there are at most log2(n) rounds, usually three or four. Joins on a label that may stand for a
+large part of all names or edges (parents, roots, hubs) take such labels apart from the others (``join_hot``).
 
 Defined results: rows with a null name link nothing, but their other name is a name; blank names are names; pairs of a
 name with itself, repeated rows and pairs given both ways round change nothing; an empty table gives an empty one;
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgweave.session import discard, materialize
+from kgweave.session import discard, join_hot, materialize, materialize_counted
 
 
 def numbered(names: DataFrame) -> DataFrame:
@@ -25,18 +26,19 @@ def numbered(names: DataFrame) -> DataFrame:
 
 
 def _doubled(stars: DataFrame) -> DataFrame:
-    """Every parent becomes the parent's parent; of two that are each other's parent, the smaller is the root."""
+    """Every parent becomes the parent's parent; of two that are each other's parent, the smaller is the root. ``moved``
+    tells whether the parent changed."""
     up = stars.select(F.col("c").alias("p"), F.col("p").alias("gp"))
-    return stars.join(up, "p").select("c", F.when(F.col("gp") == F.col("c"), F.least("c", "p")).otherwise(F.col("gp")).alias("p"))
+    parent = F.when(F.col("gp") == F.col("c"), F.least("c", "p")).otherwise(F.col("gp"))
+    # A root, or a vertex on the way to it, may be the parent of very many.
+    return join_hot(stars, up, "p").select("c", parent.alias("p"), (parent != F.col("p")).alias("moved"))
 
 
 def _collapsed(chosen: DataFrame) -> DataFrame:
     """(c, p) with p the root of c's tree."""
-    stars = materialize(_doubled(chosen), "p2 stars")
+    stars = chosen
     while True:
-        twice = _doubled(stars).alias("new").join(stars.alias("old"), "c").select("c", F.col("new.p").alias("p"), (F.col("new.p") != F.col("old.p")).alias("moved"))
-        after = materialize(twice, "p2 stars")
-        moved = after.where("moved").limit(1).count()
+        after, moved = materialize_counted(_doubled(stars), F.col("moved"), "p2 stars")
         discard(stars)
         stars = after.select("c", "p")
         if not moved:
@@ -46,21 +48,25 @@ def _collapsed(chosen: DataFrame) -> DataFrame:
 def component_labels(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges(u, v): root is the smallest vertex of its component."""
     edges = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "p2 edges")
+    edges, left = materialize_counted(edges, F.lit(True), "p2 edges")
     rounds = []
-    while edges.limit(1).count():
+    while left:
         ends = edges.select(F.explode(F.array("u", "v")).alias("c"), F.struct("u", "v").alias("e"))
         chosen = ends.groupBy("c").agg(F.min("e").alias("e")).select("c", F.when(F.col("c") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("p"))
         stars = _collapsed(materialize(chosen, "p2 chosen"))
         rounds.append(stars)
+        relabelled = edges
         for end in ("u", "v"):
-            edges = edges.join(stars.select(F.col("c").alias(end), F.col("p").alias(f"{end}_")), end).drop(end).withColumnRenamed(f"{end}_", end)
-        edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "p2 edges")
+            relabelled = join_hot(relabelled, stars.select(F.col("c").alias(end), F.col("p").alias(f"{end}_")), end).drop(end).withColumnRenamed(f"{end}_", end)
+        relabelled = relabelled.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        done = edges
+        edges, left = materialize_counted(relabelled, F.lit(True), "p2 edges")
+        discard(done)
     if not rounds:
         return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
     labels = rounds[0].select(F.col("c").alias("v"), F.col("p").alias("root"))
     for stars in rounds[1:]:
-        labels = labels.join(stars.select(F.col("c").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
+        labels = join_hot(labels, stars.select(F.col("c").alias("root"), F.col("p").alias("up")), "root", "left").select("v", F.coalesce("up", "root").alias("root"))
     return labels
 
 
@@ -69,11 +75,12 @@ def match_groups(pairs: DataFrame, a: str = "entity_name", b: str = "mapped_to")
     pairs = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     names = numbered(pairs.select(F.explode(F.array("a", "b")).alias("name")).where("name is not null").distinct())
     links = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = links.join(names.select(F.col("name").alias("a"), F.col("id").alias("u")), "a").join(names.select(F.col("name").alias("b"), F.col("id").alias("v")), "b")
+    ids = {end: names.select(F.col("name").alias(end), F.col("id").alias(to)) for end, to in (("a", "u"), ("b", "v"))}
+    edges = join_hot(join_hot(links, ids["a"], "a"), ids["b"], "b")
     labels = component_labels(edges.select("u", "v"))
-    rooted = names.join(labels, names["id"] == labels["v"], "left").select("name", F.coalesce("root", "id").alias("root"))
+    rooted = materialize(names.join(labels, names["id"] == labels["v"], "left").select("name", F.coalesce("root", "id").alias("root")), "p2 rooted")
     heads = names.select(F.col("id").alias("root"), F.col("name").alias("group_name"))
-    return rooted.join(heads, "root").select("group_name", F.col("name").alias("entity_name"))
+    return join_hot(rooted, heads, "root").select("group_name", F.col("name").alias("entity_name"))
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:

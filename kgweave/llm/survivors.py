@@ -6,12 +6,15 @@ on the map side and never gathered.
 
 Defined results: a null or blank name takes part in no group; null is the worst value of anything; items that are null,
 blank or placeholders, and repeats but for case and spacing, don't count; an unknown extractor has no trust; rows given
-twice count once; records that tie on all attributes give the smallest id; empty tables give empty ones; other columns
+twice count once; where no record is best on all attributes the first by their order survives; records that tie on
+all give the smallest id; empty tables give empty ones; other columns
 are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +45,22 @@ def scored(nodes: DataFrame, extractors: DataFrame) -> DataFrame:
 _FIVE = ["n_descriptions", "n_types", "occurrence_count", "extracted_at", "trust"]
 
 
+def _top(value: str, *then: Column | str) -> Column:
+    """The maximum of a field's composite struct: not null, then the value, then what decides between equal ones."""
+    return F.max(F.struct(F.col(value).isNotNull().alias("there"), F.col(value).alias("value"), *then))
+
+
 def best_records(nodes: DataFrame, extractors: DataFrame) -> DataFrame:
-    """(key, id): of each name held by several records, the record at least as good as every other on all five."""
+    """(key, id, dominates): of each name held by several records, the one that survives.
+
+    For every field the aggregation takes the maximum of its composite struct, and the record that is first by all
+    fields in the order of _FIVE, with the smaller id of equal ones. ``dominates`` tells whether that record holds the
+    maximum of every field, that is, is at least as good as every other on all five; if any record does, it is this one."""
     s = scored(nodes, extractors)
-    best = s.groupBy("key").agg(
-        F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.struct(*_FIVE, (-F.col("id")).alias("minus_id"))).alias("best"), *(F.max(c).alias(c) for c in _FIVE)
-    )
-    on_all = [F.col(f"best.{c}").eqNullSafe(F.col(c)) for c in _FIVE]
-    for c in on_all:
-        best = best.where(c)
-    return best.where("first <> last").select("key", (-F.col("best.minus_id")).alias("id"))
+    fields = F.struct(*_FIVE, (-F.col("id")).alias("minus_id"))
+    best = s.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(fields).alias("best"), *(_top(c).alias(c) for c in _FIVE))
+    on_all = reduce(lambda a, b: a & b, (F.col(f"best.{c}").eqNullSafe(F.col(f"{c}.value")) for c in _FIVE))
+    return best.where("first <> last").select("key", (-F.col("best.minus_id")).alias("id"), on_all.alias("dominates"))
 
 
 def built_records(nodes: DataFrame, extractors: DataFrame) -> DataFrame:

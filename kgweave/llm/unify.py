@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kgweave.functions.names import SAFE_CLASS, STROKED, STROKES, code_point_table, mark_rank
-from kgweave.session import lanes, materialize, small_enough
+from kgweave.session import join_hot, lanes, materialize, small_enough
 
 UNSAFE = f"[^{SAFE_CLASS}]"
 #: Marks and invisible characters: they belong to the letter before them.
@@ -125,4 +125,5 @@ def inconsistent_values(tables: dict[str, tuple[DataFrame, list[str]]], id_colum
         ]
     )
     forms = consistent_forms(values.select("text"))
-    return values.join(forms, "text").select("table_name", "id", "field_name", F.col("text").alias("value"), "form")
+    # One text may be a large part of all values.
+    return join_hot(values, forms, "text").select("table_name", "id", "field_name", F.col("text").alias("value"), "form")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kgweave import session
 from kgweave.functions.names import canonical_text, key_of
 from kgweave.llm import groups, linking, mixture, subjects, survivors, tokens, unify
 
@@ -88,7 +89,7 @@ def test_slips():
 
 
 # ---- 2: groups
-def test_groups(spark):
+def test_groups(spark, monkeypatch):
     rng = random.Random(4)
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(70)]
     hub = [("hub", f"h{i}") for i in range(60)]
@@ -110,8 +111,10 @@ def test_groups(spark):
             lo, hi = sorted((find(a), find(b)))
             parent[hi] = lo
     df = spark.createDataFrame([(a, b, 1, "g") for a, b in rows], "entity_name string, mapped_to string, id int, group_name string")
-    got = [tuple(r) for r in groups.match_groups(df).select("group_name", "entity_name").collect()]
-    assert sorted(got) == sorted((find(x), x) for x in parent)
+    for heavy in (1_000_000, 20):
+        monkeypatch.setattr(session, "HEAVY_ROWS", heavy)
+        got = [tuple(r) for r in groups.match_groups(df).select("group_name", "entity_name").collect()]
+        assert sorted(got) == sorted((find(x), x) for x in parent)
     assert groups.match_groups(df.limit(0)).count() == 0
     assert groups.match_groups(df.where("entity_name = 'self'")).count() == 1
 
@@ -156,10 +159,10 @@ def test_survivors(spark):
     ]
     df = spark.createDataFrame(rows, NODE)
     trust = spark.createDataFrame([("low", 1), ("high", 5)], "extractor string, trust int")
-    assert {r["id"] for r in survivors.best_records(df, trust).collect()} == {2, 5, 12}
+    assert {r["id"]: r["dominates"] for r in survivors.best_records(df, trust).collect()} == {2: True, 5: True, 8: False, 12: True}
     built = {r["key"]: r for r in survivors.built_records(df, trust).collect()}
     assert built["VIÊM GAN"]["descriptions"] == ["d", "e"] and built["VIÊM GAN"]["occurrence_count"] == 4 and built["SPLIT"]["entity_types"] == ["A"] and built["SPLIT"]["descriptions"] == ["d"]
-    assert survivors.best_records(df.limit(0), trust).count() == 0 and survivors.best_records(df, trust.limit(0)).count() == 3
+    assert survivors.best_records(df.limit(0), trust).count() == 0 and survivors.best_records(df, trust.limit(0)).count() == 4
 
 
 # ---- 6: tokens
