@@ -69,7 +69,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", he
     """left joined with right, unique by key, where a key may hold any share of left's rows. how: inner or left.
 
     Keys with heavy_rows rows or more are few by construction (rows of left / heavy_rows); their rows of right are
-    broadcast, so left's stay where they are. All other keys take a shuffled join."""
+    broadcast, so left's stay where they are. All other keys take a shuffled join. left is read more than once, so it is
+    best a written table."""
     least = HEAVY_ROWS if heavy_rows is None else heavy_rows
     heavy = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(key)
     hot = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi").withColumn("__hot", F.lit(True)))
