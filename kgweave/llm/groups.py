@@ -55,18 +55,18 @@ def component_labels(edges: DataFrame) -> DataFrame:
         chosen = ends.groupBy("c").agg(F.min("e").alias("e")).select("c", F.when(F.col("c") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("p"))
         stars = _collapsed(materialize(chosen, "p2 chosen"))
         rounds.append(stars)
-        relabelled = edges
-        for end in ("u", "v"):
-            relabelled = join_hot(relabelled, stars.select(F.col("c").alias(end), F.col("p").alias(f"{end}_")), end).drop(end).withColumnRenamed(f"{end}_", end)
+        half = materialize(join_hot(edges, stars.select(F.col("c").alias("u"), F.col("p").alias("pu")), "u").select("pu", "v"), "p2 half")
+        relabelled = join_hot(half, stars.select(F.col("c").alias("v"), F.col("p").alias("pv")), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
         relabelled = relabelled.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         done = edges
         edges, left = materialize_counted(relabelled, F.lit(True), "p2 edges")
-        discard(done)
+        discard(done, half)
     if not rounds:
         return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
     labels = rounds[0].select(F.col("c").alias("v"), F.col("p").alias("root"))
     for stars in rounds[1:]:
-        labels = join_hot(labels, stars.select(F.col("c").alias("root"), F.col("p").alias("up")), "root", "left").select("v", F.coalesce("up", "root").alias("root"))
+        # Written each time: a plan reads the left side of such a join more than once.
+        labels = materialize(join_hot(labels, stars.select(F.col("c").alias("root"), F.col("p").alias("up")), "root", "left").select("v", F.coalesce("up", "root").alias("root")), "p2 labels")
     return labels
 
 
@@ -76,7 +76,8 @@ def match_groups(pairs: DataFrame, a: str = "entity_name", b: str = "mapped_to")
     names = numbered(pairs.select(F.explode(F.array("a", "b")).alias("name")).where("name is not null").distinct())
     links = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ids = {end: names.select(F.col("name").alias(end), F.col("id").alias(to)) for end, to in (("a", "u"), ("b", "v"))}
-    edges = join_hot(join_hot(links, ids["a"], "a"), ids["b"], "b")
+    half = materialize(join_hot(materialize(links, "p2 links"), ids["a"], "a").select("b", "u"), "p2 half")
+    edges = join_hot(half, ids["b"], "b")
     labels = component_labels(edges.select("u", "v"))
     rooted = materialize(names.join(labels, names["id"] == labels["v"], "left").select("name", F.coalesce("root", "id").alias("root")), "p2 rooted")
     heads = names.select(F.col("id").alias("root"), F.col("name").alias("group_name"))
