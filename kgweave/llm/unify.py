@@ -124,6 +124,7 @@ def inconsistent_values(tables: dict[str, tuple[DataFrame, list[str]]], id_colum
             for c in columns
         ]
     )
+    values = materialize(values, "p3 values")
     forms = consistent_forms(values.select("text"))
     # One text may be a large part of all values.
     return join_hot(values, forms, "text").select("table_name", "id", "field_name", F.col("text").alias("value"), "form")
