@@ -41,10 +41,13 @@ def merged_small(chunks: DataFrame, threshold: int = 200) -> DataFrame:
     """Per file, in order: a chunk under the threshold joins what is before it, and one after a small accumulation joins
     that. chunks(file, pos, content, tokens) -> (file, pos of the first, content, tokens, n).
 
-    Files are sorted within partitions and folded as they stream by: what is held is one batch and one open chunk."""
+    Between two neighbours that both reach the threshold nothing is ever joined, so a file falls into runs that are folded
+    apart, however many chunks it has. Runs are sorted within partitions and folded as they stream by: what is held is
+    one batch and one open chunk."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: list | None = None
+        last_run = 0
         parts: list[str] = []
 
         def closed() -> list:
@@ -52,19 +55,23 @@ def merged_small(chunks: DataFrame, threshold: int = 200) -> DataFrame:
 
         for g in batches:
             out: list[list] = []
-            for f, pos, content, tokens in g[["file", "pos", "content", "tokens"]].itertuples(index=False):
-                if last and last[0] == f and (tokens < threshold or last[2] < threshold):
+            for f, run, pos, content, tokens in g[["file", "run", "pos", "content", "tokens"]].itertuples(index=False):
+                if last and last[0] == f and run == last_run and (tokens < threshold or last[2] < threshold):
                     last[2] += tokens
                     parts.append(content)
                 else:
                     if last:
                         out.append(closed())
-                    last, parts = [f, pos, tokens], [content]
+                    last, last_run, parts = [f, pos, tokens], run, [content]
             yield pd.DataFrame(out, columns=["file", "pos", "content", "tokens", "n"])
         if last:
             yield pd.DataFrame([closed()], columns=["file", "pos", "content", "tokens", "n"])
 
-    placed = chunks.select("file", "pos", "content", "tokens").repartition("file").sortWithinPartitions("file", "pos")
+    in_order = Window.partitionBy("file").orderBy("pos")
+    parted = (F.col("tokens") >= threshold) & (F.lag("tokens").over(in_order) >= threshold)
+    runs = chunks.select("file", "pos", "content", "tokens").withColumn("cut", F.coalesce(parted, F.lit(False)).cast("int"))
+    runs = runs.withColumn("run", F.sum("cut").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    placed = runs.repartition("file", "run").sortWithinPartitions("file", "run", "pos")
     return placed.mapInPandas(fold, "file string, pos int, content string, tokens int, n int")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.functions.text import chained, squeeze
@@ -74,6 +76,12 @@ def _unicode(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [("(?U)" + p, r) for p, r in rules]
 
 
+def rules_from(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Ordered rules of a JSON file, [[pattern, replacement], ...] or {pattern: replacement, ...}: a configuration."""
+    read = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return [(str(p), str(r)) for p, r in (read.items() if isinstance(read, dict) else read)]
+
+
 def cleaned(name: Column) -> Column:
     """Upper case without markup; letters and a number after them joined."""
     return F.trim(chained(F.trim(F.upper(name)), _MARKUP))

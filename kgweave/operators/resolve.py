@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.operators.graph import components
+from kgweave.session import materialize
 
 # Words that make another thing of a name.
 CRITICAL = "NÃO|NẤM|THỊ|VỊ|KHỨU|THÍNH|XÚC|TRÁI|PHẢI|TRÊN|DƯỚI|TRONG|NGOÀI|TRƯỚC|SAU|TĨNH|ĐỘNG|CẤP|MẠN|ÂM|DƯƠNG|LÀNH|ÁC|TIM|GAN|PHỔI|THẬN|MẬT|MÁU|MỦ|MẮT|MŨI|MIỆNG|TAI|CỔ|HỌNG|NGỰC|BỤNG|LƯNG|TAY|CHÂN|DA|CƠ|MỠ|XƯƠNG|KHỚP"
@@ -38,11 +39,16 @@ def fuzzy_pairs(names: DataFrame, threshold: int = 90) -> DataFrame:
     """(a, b, score) of names(name, text) in the same block with the same signature and similar text.
 
     A join on unchanged parts: the shorter text of a pair is cut into one part more than the edits allowed, and the
-    longer one is looked up at the positions where a part can be. Block, signature, length and part are join keys, so a
-    common block is never compared with itself row by row."""
+    longer one is looked up at the positions where a part can be. Block, signature, length, place and part make one
+    hashed key, so a common block is never compared with itself row by row, and only numbers of names move; what a key of
+    equal hash pairs wrongly is found by the comparison of block, signature and texts at the end."""
     rows = names.select("name", "text", block(F.col("name")).alias("k"), signature(F.col("name")).alias("s"), F.length("text").alias("n")).where("n > 0")
-    keys = ["k", "s", "l", "i", "part"]
-    index = _cut(rows.withColumn("l", F.col("n")), threshold).select("name", "text", "k", "s", "l", "i", F.expr("substring(text, start, len)").alias("part"))
+    rows = materialize(rows.dropDuplicates(["name"]).withColumn("nid", F.monotonically_increasing_id()).withColumn("own", F.xxhash64("k", "s")), "names")
+
+    def key(start: str) -> Column:
+        return F.xxhash64("own", "l", "i", F.expr(f"substring(text, {start}, len)")).alias("key")
+
+    index = _cut(rows.withColumn("l", F.col("n")), threshold).select("nid", key("start"))
     probe = _cut(rows.withColumn("l", F.explode(F.sequence(F.ceil(F.col("n") * threshold / 100).cast("int"), "n"))), threshold)
     more, left = F.col("n") - F.col("l"), F.col("parts") - F.col("i")
     probe = probe.withColumns(
@@ -51,11 +57,14 @@ def fuzzy_pairs(names: DataFrame, threshold: int = 90) -> DataFrame:
             "high": F.least(F.col("start") + F.col("i") - 1, F.col("start") + more + left, F.col("n") - F.col("len") + 1),
         }
     ).where("low <= high")
-    probe = probe.withColumn("at", F.explode(F.sequence("low", "high"))).select(F.col("name").alias("other"), F.col("text").alias("other_text"), "k", "s", "l", "i", F.expr("substring(text, at, len)").alias("part"), "n")
-    met = index.join(probe, keys).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"), "text", "other_text", "n").dropDuplicates(["a", "b"])
-    most = F.floor(F.col("n") * (100 - threshold) / 100).cast("int")
-    scored = met.withColumn("d", F.levenshtein("text", "other_text")).where(F.col("d") <= most)
-    return scored.select("a", "b", F.round(100 * (1 - F.col("d") / F.col("n")), 4).alias("score"))
+    probe = probe.withColumn("at", F.explode(F.sequence("low", "high"))).select(F.col("nid").alias("other"), key("at")).distinct()
+    met = index.join(probe, "key").where("nid <> other").select(F.least("nid", "other").alias("x"), F.greatest("nid", "other").alias("y")).distinct()
+    ends = [rows.select(F.col("nid").alias(e), F.struct("name", "text", "k", "s", "n").alias(f"_{e}")) for e in ("x", "y")]
+    both = met.join(ends[0], "x").join(ends[1], "y").where("_x.k = _y.k and _x.s = _y.s")
+    longer = F.greatest("_x.n", "_y.n")
+    most = F.floor(longer * (100 - threshold) / 100).cast("int")
+    scored = both.withColumn("d", F.levenshtein("_x.text", "_y.text")).where(F.col("d") <= most)
+    return scored.select(F.least("_x.name", "_y.name").alias("a"), F.greatest("_x.name", "_y.name").alias("b"), F.round(100 * (1 - F.col("d") / longer), 4).alias("score"))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -110,10 +110,11 @@ def threshold_sweep(spark, sf_dir):
 
 
 def mapping_validation(spark, sf_dir):
-    """Share of mappings whose identifiers agree; those where either side has none aren't judged as violations."""
+    """Share of mappings whose identifiers (numbers, letters, numerals, critical words) agree; those where either side has
+    none aren't judged as violations."""
     p = table(spark, sf_dir, "fuzzy_mapping_report").where("entity_name is not null and mapped_to is not null").select("entity_name", "mapped_to").distinct()
-    digits = [F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"[0-9]+"), 0))), "|") for c in ("entity_name", "mapped_to")]
-    bad = (digits[0] != "") & (digits[1] != "") & (digits[0] != digits[1])
+    own = [V.signature(F.upper(c)) for c in ("entity_name", "mapped_to")]
+    bad = (own[0] != "") & (own[1] != "") & (own[0] != own[1])
     return p.agg(F.count("*").alias("n"), F.count_if(bad).alias("violations"), F.round(100 - 100.0 * F.count_if(bad) / F.count("*"), 6).alias("precision"))
 
 
@@ -133,6 +134,11 @@ def label_stars(spark, sf_dir, least: float = 0.8, embed=hashed_vector):
 
 
 # The distances of names with marks have no SQL: DuckDB's count bytes. tests/test_whole.py holds them against brute force.
+def _identifiers(name: str) -> str:
+    words = f"regexp_extract_all({name}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+    return f"array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all({name}, '[0-9]+'), list_filter({words}, lambda x: regexp_matches(x, '^([A-Z]|{V.ROMAN}|{V.CRITICAL})$'))))), '|')"
+
+
 QUERIES = {
     f.__name__: f
     for f in (record_entities, record_relationships, name_targets, structural_clean, structural_audit, noise_rules, abbreviation_expansion, abbreviation_map, fuzzy_pairs, fuzzy_components, medoid_names, shortest_names, threshold_sweep, mapping_validation, cosine_pairs, semantic_clusters, label_stars)
@@ -145,7 +151,7 @@ SQL = {
     "noise_rules": "with n as (select distinct entity_name as name from nodes where entity_name is not null) select name, round(length(regexp_replace(upper(name), '[^A-ZÀ-Ỹ]', '', 'g')) / greatest(length(upper(name)), 1), 6) as letters, length(name) < 3 or length(name) > 60 as outlier from n",
     "abbreviation_map": "with a as (select ref_id, canonical_name, unnest(aliases) as alias from ref_entities) select alias, arg_max(canonical_name, ref_id) as long, count(*) as n from a where alias is not null group by 1",
     "threshold_sweep": "with recursive th(t) as (select unnest([80.0, 83.0, 85.0, 88.0, 90.0, 92.0, 94.0])), p as (select t, entity_name as a, mapped_to as b from fuzzy_mapping_report, th where entity_name <> mapped_to and score >= t), x as (select t, a, b from p union select t, b, a from p), r(t, v, c) as (select t, a, a from x union select r.t, r.v, x.b from r join x on r.c = x.a and r.t = x.t), l as (select t, v, min(c) as component from r group by 1, 2) select t::double as threshold, count(distinct component) as n_clusters, count(*) - count(distinct component) as n_merged from l group by 1",
-    "mapping_validation": "with p as (select distinct entity_name, mapped_to from fuzzy_mapping_report where entity_name is not null and mapped_to is not null), d as (select array_to_string(list_sort(list_distinct(regexp_extract_all(entity_name, '[0-9]+'))), '|') as x, array_to_string(list_sort(list_distinct(regexp_extract_all(mapped_to, '[0-9]+'))), '|') as y from p) select count(*) as n, count(*) filter (x <> '' and y <> '' and x <> y) as violations, round(100 - 100.0 * count(*) filter (x <> '' and y <> '' and x <> y) / count(*), 6) as precision from d",
+    "mapping_validation": f"with p as (select distinct entity_name, mapped_to from fuzzy_mapping_report where entity_name is not null and mapped_to is not null), d as (select {_identifiers('upper(entity_name)')} as x, {_identifiers('upper(mapped_to)')} as y from p) select count(*) as n, count(*) filter (x <> '' and y <> '' and x <> y) as violations, round(100 - 100.0 * count(*) filter (x <> '' and y <> '' and x <> y) / count(*), 6) as precision from d",
     "cosine_pairs": "with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings), n as (select id, e, sqrt(list_dot_product(e, e)) as n from v) select a.id as a, b.id as b, round(list_dot_product(a.e, b.e) / (a.n * b.n), 5) as cosine from n a join n b on a.id < b.id where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.4",
     "semantic_clusters": "with recursive v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings), n as (select id, e, sqrt(list_dot_product(e, e)) as n from v), p as (select a.id as a, b.id as b from n a join n b on a.id < b.id where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.4), x as (select a, b from p union select b, a from p), r(v, c) as (select a, a from x union select r.v, x.b from r join x on r.c = x.a) select v, min(c) as component from r group by 1",
 }

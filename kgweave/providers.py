@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -54,6 +55,32 @@ class Offline:
         return [self.answer(p) for p in prompts]
 
 
+@dataclass
+class Keyed:
+    """One provider under several keys, which take turns; a call that fails is tried again under the next key.
+
+    wait: seconds before each further try, the last for all that follow."""
+
+    call: Callable[[str, list[str]], list[str]]
+    keys: list[str]
+    tries: int = 3
+    wait: tuple[float, ...] = (0.0, 1.0, 5.0)
+    turn: int = 0
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        if not self.keys:
+            raise RuntimeError("no key")
+        for k in range(self.tries):
+            key, self.turn = self.keys[self.turn % len(self.keys)], self.turn + 1
+            try:
+                return self.call(key, prompts)
+            except Exception:
+                if k + 1 == self.tries:
+                    raise
+                time.sleep(self.wait[min(k, len(self.wait) - 1)])
+        raise RuntimeError("no tries")
+
+
 @dataclass
 class Routed:
     """Tries providers in order; one that fails is left out for as many batches as it has failed so far."""

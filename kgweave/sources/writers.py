@@ -21,6 +21,25 @@ def json_lines_to_parquet(spark: SparkSession, source: str, target: str, schema:
     return spark.read.parquet(target)
 
 
+def json_array(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
+    """One file that holds a JSON array of the rows; for reports. ValueError beyond most_rows: use json_lines then."""
+    n = df.limit(most_rows + 1).count()
+    if n > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    rows = df.coalesce(1).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"), F.monotonically_increasing_id().alias("k"))
+    ends = df.sparkSession.createDataFrame([("[" if n else "[]", -1)] + ([("]", 1 << 62)] if n else []), "j string, k bigint")
+    comma = F.when((F.col("k") >= 0) & (F.col("k") < n - 1), ",").otherwise("")
+    ends.unionByName(rows).coalesce(1).sortWithinPartitions("k").select(F.concat("j", comma).alias("value")).write.mode("overwrite").text(path)
+
+
+def excel(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
+    """A sheet for readers, written on the driver; needs an installed Excel writer of pandas. ValueError beyond most_rows."""
+    rows = flat(df).limit(most_rows + 1).toPandas()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    rows.to_excel(path, index=False)
+
+
 def csv_report(df: DataFrame, path: str) -> None:
     """One CSV file with a header that starts with a byte order mark; for reports, which are small."""
     first, *rest = df.columns

@@ -38,8 +38,17 @@ def run_groups(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def run_append(stream: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
-    """An append log with at most one row per key."""
-    return stream.dropDuplicates([key]).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """An append log with at most one row per key, in one folder per batch. Keys are looked up in the log itself, so the
+    stream keeps no state that grows with them; a batch that is done again overwrites its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, new = batch.sparkSession, batch.dropDuplicates([key])
+        if number:
+            log = spark.read.schema(batch.schema.add("batch", "int")).option("basePath", out).parquet(out).where(F.col("batch") < number)
+            new = new.join(log.select(key), key, "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -59,3 +59,30 @@ def test_incremental(spark, tmp_path):
 
     assert add([("a", ["x"], None, None), (" A ", ["y"], ["d"], ["c"])]) == {"A": (2, ["x", "y"])}
     assert add([("a", ["z"], None, None), ("b", None, None, None)]) == {"A": (3, ["x", "y", "z"]), "B": (1, None)}
+
+
+def test_json_array_file(spark, tmp_path):
+    import glob
+    import json
+
+    from kgweave.sources import writers
+
+    df = spark.createDataFrame([(1, "a", [1, 2]), (2, None, [])], "n int, s string, l array<int>")
+    writers.json_array(df, str(tmp_path / "j"))
+    read = lambda d: json.loads("".join(open(f).read() for f in glob.glob(f"{tmp_path}/{d}/part*")))
+    assert read("j") == [{"n": 1, "s": "a", "l": [1, 2]}, {"n": 2, "s": None, "l": []}]
+    writers.json_array(df.limit(0), str(tmp_path / "e"))
+    assert read("e") == []
+    try:
+        writers.json_array(df, str(tmp_path / "x"), most_rows=1)
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    from kgweave.operators.records import rules_from
+
+    (tmp_path / "r.json").write_text('[["a+", "b"], ["b", "c"]]')
+    (tmp_path / "d.json").write_text('{"x": "y", "é": ""}')
+    assert rules_from(spark, str(tmp_path / "r.json")) == [("a+", "b"), ("b", "c")] and rules_from(spark, str(tmp_path / "d.json")) == [("x", "y"), ("é", "")]

@@ -242,3 +242,37 @@ def test_wrapped_answers(spark):
     rows = [('{"answer": "gan"}', "gan"), ('{"a": "1", "b": "2"}', '{"a": "1", "b": "2"}'), ("gan", "gan"), (None, None), ("{bad", "{bad"), ("Dưới đây là câu trả lời:\ngan", "gan")]
     df = spark.createDataFrame([(a,) for a, _ in rows], "t string")
     assert [r[0] for r in df.select(unwrapped(model_text(F.col("t")))).collect()] == [b for _, b in rows]
+
+
+def test_keys_take_turns():
+    from kgweave.providers import Keyed
+
+    seen = []
+
+    def call(key, prompts):
+        seen.append(key)
+        if key == "bad":
+            raise ValueError("refused")
+        return [key + p for p in prompts]
+
+    keyed = Keyed(call, ["a", "bad", "c"], wait=(0.0,))
+    assert [keyed(["x"]) for _ in range(3)] == [["ax"], ["cx"], ["ax"]] and seen == ["a", "bad", "c", "a"]
+    with pytest.raises(ValueError):
+        Keyed(call, ["bad"], wait=(0.0,))(["x"])
+
+
+def test_runs_of_small_chunks_fold_apart(spark):
+    """Against a fold in one go, on random sizes around the threshold."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(f, p, f"{f}{p}", rng.choice([5, 60, 199, 200, 300])) for f in "ab" for p in range(200)]
+    want = []
+    for f, p, c, t in rows:
+        if want and want[-1][0] == f and (t < 200 or want[-1][3] < 200):
+            want[-1][2] += "\n" + c
+            want[-1][3] += t
+        else:
+            want.append([f, p, c, t])
+    got = B.merged_small(spark.createDataFrame(rows, "file string, pos int, content string, tokens int").repartition(5)).select("file", "pos", "content", "tokens").collect()
+    assert sorted(map(list, got)) == sorted(want)
