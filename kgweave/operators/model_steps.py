@@ -17,7 +17,7 @@ FIELD, RECORD, DONE = "<|>", "####", "[DONE]"
 TYPES = ["BỆNH_LÝ", "TRIỆU_CHỨNG", "HOẠT_CHẤT_THUỐC", "XÉT_NGHIỆM", "THỦ_THUẬT", "GIẢI_PHẪU", "TÁC_NHÂN_GÂY_BỆNH"]
 # Phrases of a refusal, and of a text that broke off.
 REFUSALS = r"(?is)xin lỗi.*không thể|không thể.*xin lỗi|as an ai|i cannot fulfill|tôi không thể.*y tế|y tế.*tôi không thể"
-SENTENCE_END = r"[.!?…)\"»'][\s]*$"
+SENTENCE_ENDS = ".!?…)\"»'"
 BROKEN_OFF = r"(?iU)(?:[-*•]\s+\S+|:|\(|,\s*|\b(?:và|hoặc|như|ví dụ|bao gồm)\s*)$"
 
 
@@ -29,15 +29,22 @@ def has_thinking(c: Column) -> Column:
     return F.coalesce(F.lower(c).contains("<think>"), F.lit(False))
 
 
+#: An answer is near its limit from this share of it, and from so many tokens; only an answer of some length is judged by
+#: how it ends, and a last line beyond the longest is no sentence that was finished.
+NEAR_LIMIT, LEAST_TOKENS, LEAST_CHARS, LONGEST_LINE = 0.92, 64, 60, 180
+
+
 def is_broken_off(text: Column, reason: Column, tokens: Column, most: int = 1024) -> Column:
-    """Whether an answer was cut: the model said so, or it ends in mid-sentence near its limit or in a telling way."""
-    t = strip(F.coalesce(text, F.lit("")))
-    last = strip(F.element_at(F.split(t, "\n"), -1))
-    ended = t.rlike(SENTENCE_END)
-    brackets = F.regexp_count(t, F.lit(r"\(")) > F.regexp_count(t, F.lit(r"\)"))
-    near = F.coalesce(tokens, F.lit(0)) >= max(64, int(most * 0.92))
-    telling = (F.length(t) >= 60) & (last.rlike(BROKEN_OFF) | brackets | (F.length(last) > 180))
-    return F.coalesce(reason.isin("length", "max_tokens", "MAX_TOKENS"), F.lit(False)) | ((t != "") & ~ended & (near | telling))
+    """Whether an answer was cut: the model said so, or it ends without the end of a sentence, near its limit or in a way
+    that tells: on a bare list item, an opened bracket, a comma or a joining word, or in a very long line."""
+    told = F.coalesce(reason.isin("length", "max_tokens", "MAX_TOKENS"), F.lit(False))
+    whole = strip(F.coalesce(text, F.lit("")))
+    unfinished = (whole != "") & ~F.right(whole, F.lit(1)).isin(list(SENTENCE_ENDS))
+    at_limit = F.coalesce(tokens, F.lit(0)) >= max(LEAST_TOKENS, int(most * NEAR_LIMIT))
+    line = strip(F.substring_index(whole, "\n", -1))
+    open_brackets = F.regexp_count(whole, F.lit(r"\(")) - F.regexp_count(whole, F.lit(r"\)"))
+    tells = line.rlike(BROKEN_OFF) | (open_brackets > 0) | (F.length(line) > LONGEST_LINE)
+    return told | (unfinished & (at_limit | (tells & (F.length(whole) >= LEAST_CHARS))))
 
 
 def token_limit(boost: Column, base: int, step: int, cap: int) -> Column:

@@ -142,6 +142,7 @@ SQL = {
     "component_histogram": f"with {_PAIRS} select size, count(*) as n from z group by 1",
     "largest_components": f"with {_PAIRS} select component, size from z order by size desc, component limit 5",
     "prune_small_components": f"with {_PAIRS} select distinct entity_name as a, mapped_to as b, score from fuzzy_mapping_report where mapped_to is not null and entity_name in (select v from l join z using (component) where size >= 3)",
+    "component_labels": f"with recursive {_E}, x as (select a, b from e union select b, a from e), r(v, c) as (select a, a from x union select r.v, x.b from r join x on r.c = x.a) select v, min(c) as component from r group by 1",
     "weighted_degree": f"with {_E} select v, count(*) as degree, sum(w) as strength from (select a as v, w from e union all select b, w from e) group by 1",
     "edge_priority": f"with {_E}, d as (select v, sum(w) as s from (select a as v, w from e union all select b, w from e) group by 1) select a, b, w, d1.s + d2.s as priority from e join d d1 on a = d1.v join d d2 on b = d2.v",
     "parallel_edge_sum": f"with {_E} select a, b, w from e",

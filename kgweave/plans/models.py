@@ -65,7 +65,15 @@ def audit_rates(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (domain_labelling, extraction_round_trip, consolidated_descriptions, report_validity, output_flags, token_boost, synthetic_queries, audit_rates)}
 
+_T = "case when doc_id % 9 = 0 then 'Xin lỗi, tôi không thể trả lời. ' || text when doc_id % 7 = 0 then '<THINK>x' || text else text end"
+_STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
 SQL = {
+    "output_flags": f"""
+with d as (select doc_id, {_T} as t from documents where text is not null), w as (select doc_id, t, {_STRIP.format('t')} as s from d), l as (select *, {_STRIP.format("string_split(s, chr(10))[-1]")} as line from w)
+select doc_id, regexp_matches(t, '{M.REFUSALS}') as refusal, contains(lower(t), '<think>') as thinking,
+  doc_id % 50 = 0 or (s <> '' and not contains('{M.SENTENCE_ENDS.replace("'", "''")}', right(s, 1)) and length(s) >= 60
+    and (regexp_matches(line, '{M.BROKEN_OFF.replace("(?iU)", "(?i)")}') or length(replace(s, '(', '')) < length(replace(s, ')', '')) or length(line) > 180)) as broken from l""",
     "domain_labelling": "select doc_id, case when title is null then null when contains(lower(title), 'tài liệu') then 'guideline' when regexp_matches(lower(title), 'paper|study') then 'paper' when regexp_matches(lower(title), 'hồ sơ|ghi') then 'notes' else 'Khác' end as domain from documents",
     "consolidated_descriptions": "with n as (select id, max(descriptions) as d from nodes group by 1), c as (select id, list_filter(list_transform(d, lambda x: trim(x)), lambda x: x is not null and x <> '') as d from n) select id, case when len(list_distinct(d)) > 1 then array_to_string(list_sort(list_distinct(d)), '; ') else d[1] end as text from c",
     "report_validity": "with r as (select entity_type, list_sort(list_distinct(list(canonical_name))) as names, min(ref_id) as c from ref_entities group by 1) select entity_type, c % 3 <> 0 as valid, case when c % 3 <> 0 then array_to_string(names[1:3], ', ') end as title, case when c % 3 <> 0 then least(5, len(names))::int end as n_findings from r",

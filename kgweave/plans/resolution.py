@@ -144,11 +144,15 @@ QUERIES = {
     for f in (record_entities, record_relationships, name_targets, structural_clean, structural_audit, noise_rules, abbreviation_expansion, abbreviation_map, fuzzy_pairs, fuzzy_components, medoid_names, shortest_names, threshold_sweep, mapping_validation, cosine_pairs, semantic_clusters, label_stars)
 }
 
+# Characters of words.
+_W = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}"
+
 SQL = {
     "record_entities": f"with {_RAW}, {_flat('entity')} select id, {_N.format('f[1]')} as name, {_N.format('f[2]')} as type, f[3] as description from f",
     "record_relationships": f"with {_RAW}, {_flat('relationship')} select id, {_N.format('f[1]')} as source, {_N.format('f[2]')} as target, f[3] as description, coalesce(try_cast(nullif(regexp_replace(coalesce(f[4], ''), '[^0-9]', '', 'g'), '') as int), 1) as weight from f",
     "structural_clean": "with n as (select distinct entity_name as name from nodes where entity_name is not null) select name, trim(regexp_replace(replace(regexp_replace(replace(regexp_replace(upper(trim(name)), '[#*{}\\[\\]_><]+', ' ', 'g'), '$', ''), '([A-Z])[ \\t\\n\\r\\f\\v]+([0-9])', '\\1\\2', 'g'), '^-', '-'), '[ \\t\\n\\r\\f\\v]{2,}', ' ', 'g')) as clean from n",
     "noise_rules": "with n as (select distinct entity_name as name from nodes where entity_name is not null) select name, round(length(regexp_replace(upper(name), '[^A-ZÀ-Ỹ]', '', 'g')) / greatest(length(upper(name)), 1), 6) as letters, length(name) < 3 or length(name) > 60 as outlier from n",
+    "abbreviation_expansion": f"with n as (select distinct entity_name as name from nodes where entity_name is not null), w as (select name, regexp_extract_all(name, '[{_W}]+|[^{_W}]+') as w from n) select name, array_to_string(list_transform(w, lambda x: case x {' '.join(f"when '{a}' then '{b}'" for a, b in ABBREVIATIONS)} else x end), '') as expanded from w",
     "abbreviation_map": "with a as (select ref_id, canonical_name, unnest(aliases) as alias from ref_entities) select alias, arg_max(canonical_name, ref_id) as long, count(*) as n from a where alias is not null group by 1",
     "threshold_sweep": "with recursive th(t) as (select unnest([80.0, 83.0, 85.0, 88.0, 90.0, 92.0, 94.0])), p as (select t, entity_name as a, mapped_to as b from fuzzy_mapping_report, th where entity_name <> mapped_to and score >= t), x as (select t, a, b from p union select t, b, a from p), r(t, v, c) as (select t, a, a from x union select r.t, r.v, x.b from r join x on r.c = x.a and r.t = x.t), l as (select t, v, min(c) as component from r group by 1, 2) select t::double as threshold, count(distinct component) as n_clusters, count(*) - count(distinct component) as n_merged from l group by 1",
     "mapping_validation": f"with p as (select distinct entity_name, mapped_to from fuzzy_mapping_report where entity_name is not null and mapped_to is not null), d as (select {_identifiers('upper(entity_name)')} as x, {_identifiers('upper(mapped_to)')} as y from p) select count(*) as n, count(*) filter (x <> '' and y <> '' and x <> y) as violations, round(100 - 100.0 * count(*) filter (x <> '' and y <> '' and x <> y) / count(*), 6) as precision from d",
