@@ -63,7 +63,8 @@ def fuzzy_pairs(names: DataFrame, threshold: int = 90) -> DataFrame:
     both = met.join(ends[0], "x").join(ends[1], "y").where("_x.k = _y.k and _x.s = _y.s")
     longer = F.greatest("_x.n", "_y.n")
     most = F.floor(longer * (100 - threshold) / 100).cast("int")
-    scored = both.withColumn("d", F.levenshtein("_x.text", "_y.text")).where(F.col("d") <= most)
+    # With a bound only the diagonals within it are filled; beyond it the distance is -1.
+    scored = both.withColumn("most", most).withColumn("d", F.expr("levenshtein(_x.text, _y.text, most)")).where("d >= 0")
     return scored.select(F.least("_x.name", "_y.name").alias("a"), F.greatest("_x.name", "_y.name").alias("b"), F.round(100 * (1 - F.col("d") / longer), 4).alias("score"))
 
 
