@@ -59,13 +59,15 @@ def fuzzy_pairs(names: DataFrame, threshold: int = 90) -> DataFrame:
     ).where("low <= high")
     probe = probe.withColumn("at", F.explode(F.sequence("low", "high"))).select(F.col("nid").alias("other"), key("at")).distinct()
     met = index.join(probe, "key").where("nid <> other").select(F.least("nid", "other").alias("x"), F.greatest("nid", "other").alias("y")).distinct()
-    ends = [rows.select(F.col("nid").alias(e), F.struct("name", "text", "k", "s", "n").alias(f"_{e}")) for e in ("x", "y")]
-    both = met.join(ends[0], "x").join(ends[1], "y").where("_x.k = _y.k and _x.s = _y.s")
-    longer = F.greatest("_x.n", "_y.n")
+    texts = [rows.select(F.col("nid").alias(e), F.col("text").alias(f"t{e}")) for e in ("x", "y")]
+    both = met.join(texts[0], "x").join(texts[1], "y")
+    longer = F.greatest(F.length("tx"), F.length("ty"))
     most = F.floor(longer * (100 - threshold) / 100).cast("int")
     # With a bound only the diagonals within it are filled; beyond it the distance is -1.
-    scored = both.withColumn("most", most).withColumn("d", F.expr("levenshtein(_x.text, _y.text, most)")).where("d >= 0")
-    return scored.select(F.least("_x.name", "_y.name").alias("a"), F.greatest("_x.name", "_y.name").alias("b"), F.round(100 * (1 - F.col("d") / longer), 4).alias("score"))
+    scored = both.withColumn("most", most).withColumn("d", F.expr("levenshtein(tx, ty, most)")).where("d >= 0").select("x", "y", F.round(100 * (1 - F.col("d") / longer), 4).alias("score"))
+    ends = [rows.select(F.col("nid").alias(e), F.struct("name", "k", "s").alias(f"_{e}")) for e in ("x", "y")]
+    named = scored.join(ends[0], "x").join(ends[1], "y").where("_x.k = _y.k and _x.s = _y.s")
+    return named.select(F.least("_x.name", "_y.name").alias("a"), F.greatest("_x.name", "_y.name").alias("b"), "score")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
