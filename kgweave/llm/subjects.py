@@ -37,7 +37,7 @@ BUCKETS, DIM, STEPS, BATCH, RATE, MAX_LABELLED = 1 << 14, 16, 60, 1200, 0.15, 20
 #: Documents are scored in blocks of at most so many characters, so that a block's features fit in memory.
 BLOCK_CHARS = 400_000
 #: Blocks of rows by which gradients are summed.
-PARTS = 8
+PARTS = 4
 #: Different words that a worker remembers.
 REMEMBERED = 200_000
 
@@ -148,7 +148,7 @@ def train(features: DataFrame, n_subjects: int, steps: int = STEPS, seed: int =
     params = _parameters(n_subjects, seed)
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     n_batches = 1 + max(0, features.agg(F.max("batch")).first()[0] or 0)
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, 16, BATCH // 200))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, 16, BATCH // 400))
     # A batch is a few files of its own, so that a step reads no other.
     by_batch = [materialize(features.where(F.col("batch") == k).repartition(tasks, "doc_id"), "p8 batch") for k in range(n_batches)]
     for step in range(1, steps + 1):
