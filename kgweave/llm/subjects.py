@@ -57,7 +57,7 @@ class Words:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.hashes: list[int] = []
-        self.features: list[list[int]] = []
+        self.features: list[np.ndarray] = []
 
     def _new(self, raw: str) -> int:
         w = unicodedata.normalize("NFKD", raw).translate(_MARKS).translate(_PLAIN).lower()
@@ -66,7 +66,7 @@ class Words:
             k = self.number[f" {w}"] = len(self.hashes)
             s = f"<{w}>"
             self.hashes.append(zlib.crc32(w.encode()))
-            self.features.append([zlib.crc32(x.encode()) % self.n_buckets for x in (w, *(s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)))])
+            self.features.append(np.array([zlib.crc32(x.encode()) % self.n_buckets for x in (w, *(s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)))]))
         self.number[raw] = k
         return k
 
