@@ -1,7 +1,8 @@
 """Vector index of cells, and exact search in blocks.
 
 ``build`` fits at most MAX_CELLS centres to a bounded sample of the vectors and puts every vector into the cell of its
-nearest centre. ``search`` looks a query up in its nearest cells only; with all cells it is exact. ``top`` and ``at_least``
+nearest centre. ``search`` looks a query up in its nearest cells only, as many as ``calibrated`` measures to be enough; with
+all cells it is exact. ``top`` and ``at_least``
 compare a stated set of queries with all vectors by matrix products, a bounded block of queries at a time, and keep what
 they find on the map side.
 
@@ -129,6 +130,24 @@ def _celled(rows: DataFrame, at: np.ndarray, probes: int, column: str) -> DataFr
     return rows.withColumn("cell", F.explode(nearest(column)))
 
 
+def calibrated(vectors: DataFrame, index: DataFrame, at: np.ndarray, k: int, least: float = 0.95, n_queries: int = 100) -> int:
+    """The fewest cells to look up for a recall of ``least``, measured against exact search with n_queries of the vectors,
+    those with the smallest hash of their id. Only counts per place of a cell come to the driver."""
+    if not len(at):
+        return 1
+    queries = vectors.where("embedding is not null").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(n_queries).select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    exact = top(queries, vectors, k).select("query", "id")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("place"))
+    cells = _celled(queries.withColumn("place", F.lit(0)), at, len(at), "q").select("query", "cell", F.monotonically_increasing_id().alias("place")).withColumn("place", place)
+    counts = exact.join(index.select("id", "cell"), "id").join(cells, ["query", "cell"]).groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()
+    total, found = sum(r["n"] for r in counts), 0
+    for r in counts:
+        found += r["n"]
+        if found >= least * total:
+            return r["place"]
+    return 1
+
+
 def search(queries: DataFrame, index: DataFrame, at: np.ndarray, k: int, probes: int = 16) -> DataFrame:
     """(query, id, score, rank) of queries(query, q): the k nearest within the ``probes`` nearest cells; with probes of at
     least the number of cells, exact. Queries meet vectors by a join on the cell, which adaptive execution splits where a

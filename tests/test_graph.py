@@ -134,5 +134,8 @@ def test_vector_index(spark):
     assert exact == want and {(r["query"], r["id"], r["rank"]) for r in I.search(q, index, at, 5, probes=12).collect()} == want
     some = {(r["query"], r["id"]) for r in I.search(q, index, at, 5, probes=6).collect()}
     assert len(some & {(a, b) for a, b, _ in want}) >= 0.9 * len(want)
+    probes = I.calibrated(v, index, at, 5, least=0.95)
+    some = {(r["query"], r["id"]) for r in I.search(q, index, at, 5, probes=probes).collect()}
+    assert 1 <= probes <= 12 and len(some & {(a, b) for a, b, _ in want}) >= 0.9 * len(want)
     assert index.count() == 303 and {(r["query"], r["id"]) for r in I.at_least(q, v, 0.99).collect()} == {(k, i) for k in range(0, 300, 50) for i in vec if i != k and cosine(vec[k], vec[i]) >= 0.99}
     assert I.top(q.limit(0), v, 5).count() == 0 and I.search(q, I.build(v.limit(0), I.centres(v.limit(0))), I.centres(v.limit(0)), 5).count() == 0
